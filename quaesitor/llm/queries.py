@@ -7,20 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, mixing, sharding, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Target powers over the observed shares of tokens, and the share of tokens to keep.
+MIX_TARGETS: dict[str, mixing.Target] = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+MIX_KEEP = 0.8
+URL_RULES: urls.Rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+SHARD_BYTES = 16 << 20
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), MIX_TARGETS, MIX_KEEP)
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, reach=4)
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents", "doc_id", "text"), SHARD_BYTES)
+
+
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flagged(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op6_simhash": op6_simhash}
+    return {
+        "op1_mixing": op1_mixing,
+        "op3_url_rules": op3_url_rules,
+        "op6_simhash": op6_simhash,
+        "op7_sharding": op7_sharding,
+        "op10_template_leaks": op10_template_leaks,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_sharding": sharding.oracle(SHARD_BYTES)}
