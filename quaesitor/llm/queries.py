@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, urls
+from . import decontaminate, embeddings, mixing, sharding, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents", "doc_id", "text"), SHARD_BYTES)
 
 
+def op8_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flagged(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op3_url_rules": op3_url_rules,
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
+        "op8_collisions": op8_collisions,
         "op10_template_leaks": op10_template_leaks,
     }
 
