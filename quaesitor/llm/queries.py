@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, mixing, sharding, simhash, urls
+from . import decontaminate, embeddings, mixing, sharding, simhash, tokens, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), MIX_TARGETS, MIX_KEEP)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "word_bpe_49k.json", limit=2048)
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES)
 
@@ -48,6 +52,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_token_counts": op2_token_counts,
         "op3_url_rules": op3_url_rules,
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
