@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, columnar: bool = True) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
@@ -42,6 +42,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) that is the same for equal keys in any run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a long, b long): root is the smallest node reachable.
 

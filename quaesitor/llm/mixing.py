@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import uniform, written
 
 #: Up to this many cells (tens of megabytes) are raked on the driver; more are raked as a table.
 DRIVER_CELLS = 200_000
@@ -122,12 +122,6 @@ def _calibrate_table(cells: DataFrame, keep: float) -> float:
     return float(np.exp2(high))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that is the same for equal keys in any run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
-
-
 def mix(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """One row per row of `docs`: doc_id, the dimensions of `targets`, n_tokens, weight, probability, kept.
 
