@@ -19,6 +19,8 @@ EXAMPLES = 8192
 #: Terms kept, of those with this chi-square against the label and in so many examples at least.
 TERMS, CHI_SQUARE, LEAST_ROWS = 4096, 25.0, 4
 NEIGHBOURS, BLOCK, NEAR = 15, 64, 0.05
+#: Weight against in each vote: far neighbours alone decide nothing.
+REST = 5.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are terms beside the words.
 STEMS = (4, 5)
@@ -147,11 +149,11 @@ class Index:
         return place, score
 
     def vote(self, place: np.ndarray, score: np.ndarray) -> float:
-        """The toxic share of the neighbours, each weighted by 1 over its distance; -1 without neighbours."""
+        """The toxic share of the neighbours, each weighted by cosine over distance, beside a fixed weight against; -1 without neighbours."""
         if not len(place):
             return -1.0
-        w = 1 / (NEAR + 1 - np.minimum(score, 1))
-        return float((w * self.toxic[place]).sum() / w.sum())
+        w = score / (NEAR + 1 - np.minimum(score, 1))
+        return float((w * self.toxic[place]).sum() / (w.sum() + REST))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
