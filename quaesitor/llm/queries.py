@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, mixing, sharding, simhash, tokens, toxicity, urls
+from . import decontaminate, embeddings, html, mixing, sharding, simhash, tokens, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"), threshold=0.3)
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op2_token_counts": op2_token_counts,
         "op3_url_rules": op3_url_rules,
+        "op4_html_text": op4_html_text,
         "op5_toxicity": op5_toxicity,
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
