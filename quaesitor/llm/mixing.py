@@ -84,13 +84,14 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, keep: float) -> float:
 
 def _rake_table(cells: DataFrame, dims: list[str], targets: list[Target], rounds: int = 30) -> DataFrame:
     """`cells` with column weight, raked by joins: for more cells than the driver takes."""
+    cells = cells.withColumn("tokens", F.col("tokens").cast("double"))
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     wants = []
     for d, target in zip(dims, targets):
         seen = cells.groupBy(d).agg(F.sum("tokens").alias("s"))
         if isinstance(target, Mapping):
             entries = [(k, float(v)) for k, v in target.items()]
-            want = seen.join(cells.sparkSession.createDataFrame(entries, f"{d} string, want double").withColumnRenamed(d, "_v"), F.col(d).eqNullSafe(F.col("_v")), "left").select(d, F.coalesce("want", F.lit(0.0)).alias("want"))
+            want = seen.join(cells.sparkSession.createDataFrame(entries, "_v string, want double"), F.col(d).eqNullSafe(F.col("_v")), "left").select(d, F.coalesce("want", F.lit(0.0)).alias("want"))
         else:
             want = seen.select(d, F.when(F.col("s") > 0, F.pow("s", F.lit(float(target)))).otherwise(0.0).alias("want"))
         scale = float(want.agg(F.sum("want")).first()[0] or 1.0)
@@ -122,6 +123,38 @@ def _calibrate_table(cells: DataFrame, keep: float) -> float:
     return float(np.exp2(high))
 
 
+def _measured(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> DataFrame:
+    """`docs` with _tokens and each dimension as a string in _0, _1, ..."""
+    rows = docs.withColumn("_tokens", n_tokens(F.col(text_col)))
+    told = {d: topic(F.col(text_col), F.col("_tokens")) if d == "topic" and "topic" not in docs.columns else F.col(d).cast("string") for d in dims}
+    return rows.withColumns({f"_{k}": told[d] for k, d in enumerate(dims)})
+
+
+def _factors(measured: DataFrame, targets: Mapping[str, Target], keep: float, driver_cells: int) -> DataFrame:
+    """(_f0, _f1, ..., weight, probability) for each cell of the measured rows."""
+    keys = [f"_{k}" for k in range(len(targets))]
+    goals = list(targets.values())
+    cells = written(measured.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
+    if cells.count() <= driver_cells:
+        got = [tuple(r) for r in cells.collect()]
+        tokens = np.array([r[-1] for r in got], float)
+        weight = rake([r[:-1] for r in got], tokens, goals)
+        m = calibrate(weight, tokens, keep)
+        schema = ", ".join(f"_f{k} string" for k in range(len(goals))) + ", weight double, probability double"
+        return cells.sparkSession.createDataFrame([(*r[:-1], float(w), float(min(1.0, m * w))) for r, w in zip(got, weight)], schema)
+    raked = _rake_table(cells, keys, goals)
+    m = _calibrate_table(raked, keep)
+    return raked.select(*[F.col(k).alias(f"_f{k[1:]}") for k in keys], "weight", F.least(F.lit(1.0), F.lit(m) * F.col("weight")).alias("probability"))
+
+
+def _drawn(measured: DataFrame, factors: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    """`measured` with weight, probability and _kept; the join leaves it to the planner which side is small."""
+    same = F.lit(True)
+    for k in range(n):
+        same = same & F.col(f"_{k}").eqNullSafe(F.col(f"_f{k}"))
+    return measured.join(factors, same).withColumn("_kept", uniform(F.col(id_col), seed) < F.col("probability"))
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """One row per row of `docs`: doc_id, the dimensions of `targets`, n_tokens, weight, probability, kept.
 
@@ -132,26 +165,17 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int =
     ids share their fate and a null id counts as an empty text. A null value of a
     dimension is a value of its own. A value that a target does not name gets
     nothing. Cells without tokens have the weight their values give. An empty
-    table gives no rows.
+    table gives no rows; other columns are not read.
     """
-    dims, goals = list(targets), list(targets.values())
-    text = F.col(text_col)
-    rows = docs.withColumn("_tokens", n_tokens(text))
-    tell = [topic(text, F.col("_tokens")).alias("topic") if d == "topic" and "topic" not in docs.columns else F.col(d).cast("string").alias(d) for d in dims]
-    rows = written(rows.select(F.col(id_col).alias("doc_id"), *tell, F.col("_tokens").alias("n_tokens")))
-    cells = written(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
-    if cells.count() <= driver_cells:
-        got = [tuple(r) for r in cells.collect()]
-        tokens = np.array([r[-1] for r in got], float)
-        weight = rake([r[:-1] for r in got], tokens, goals)
-        m = calibrate(weight, tokens, keep)
-        schema = ", ".join(f"_{k} string" for k in range(len(dims))) + ", weight double, probability double"
-        factors = docs.sparkSession.createDataFrame([(*r[:-1], float(w), float(min(1.0, m * w))) for r, w in zip(got, weight)], schema)
-    else:
-        raked = _rake_table(cells, dims, goals)
-        m = _calibrate_table(raked, keep)
-        factors = raked.select(*[F.col(d).alias(f"_{k}") for k, d in enumerate(dims)], "weight", F.least(F.lit(1.0), F.lit(m) * F.col("weight")).alias("probability"))
-    same = F.lit(True)
-    for k, d in enumerate(dims):
-        same = same & F.col(d).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(factors, same).select("doc_id", *dims, "n_tokens", "weight", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
+    own = [c for c in {id_col, text_col, *targets} if c in docs.columns]
+    rows = _measured(docs.select(*own), list(targets), id_col, text_col)
+    rows = written(rows.select(F.col(id_col).alias("doc_id"), "_tokens", *[f"_{k}" for k in range(len(targets))]))
+    out = _drawn(rows, _factors(rows, targets, keep, driver_cells), len(targets), seed, "doc_id")
+    return out.select("doc_id", *[F.col(f"_{k}").alias(d) for k, d in enumerate(targets)], F.col("_tokens").alias("n_tokens"), "weight", "probability", F.col("_kept").alias("kept"))
+
+
+def sampled(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """The rows of `docs` that mix() keeps, with their columns; texts are read twice and never shuffled."""
+    own = [c for c in {id_col, text_col, *targets} if c in docs.columns]
+    factors = _factors(_measured(docs.select(*own), list(targets), id_col, text_col), targets, keep, driver_cells)
+    return _drawn(_measured(docs, list(targets), id_col, text_col), factors, len(targets), seed, id_col).filter("_kept").select(*[docs[c] for c in docs.columns])

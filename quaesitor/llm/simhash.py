@@ -27,22 +27,33 @@ EVEN = 0x5555555555555555
 SMALL_CELL = 48
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Signed 64-bit SimHash over `words`-word shingles of the ASCII-lower-cased text."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each run of `words` words, repeats included; of the whole sequence if it is shorter."""
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, SEED)).astype(np.int64))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64)
+    return np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((((ones * 2 > len(h)).astype(np.uint64)) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+    return int(((ones * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """Signed 64-bit SimHash over `words`-word shingles of the ASCII-lower-cased text; 0 without words."""
+    parts = _words(text)
+    return _majority(_shingles(parts, words)) if parts else 0
 
 
 def with_fingerprint(docs: DataFrame, text: str, out: str, words: int) -> DataFrame:
@@ -90,8 +101,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _large_cell(x: np.ndarray, reach: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links inside a large cell as a search forest: each value found leaves the set that is still compared."""
+def _large_cell(x: np.ndarray, reach: int, ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links inside a large cell as a search forest over `ids`: each value found leaves the set that is still compared."""
     a, b, left = [], [], np.ones(len(x), bool)
     rest = np.arange(len(x))
     stack: list[int] = []
@@ -110,8 +121,8 @@ def _large_cell(x: np.ndarray, reach: int) -> tuple[list[np.ndarray], list[np.nd
         if len(near):
             left[near] = False
             rest = rest[left[rest]]
-            a.append(np.full(len(near), x[k]))
-            b.append(x[near])
+            a.append(np.full(len(near), ids[k]))
+            b.append(ids[near])
             stack.extend(near.tolist())
     return a, b
 
@@ -123,7 +134,7 @@ def cell_links(cell: np.ndarray, x: np.ndarray, reach: int) -> tuple[np.ndarray,
     size = end - first
     a, b = [], []
     for s, e in zip(first[size > SMALL_CELL], end[size > SMALL_CELL]):
-        p, q = _large_cell(x[s:e], reach)
+        p, q = _large_cell(x[s:e], reach, x[s:e])
         a += p
         b += q
     stop = np.repeat(np.where(size > SMALL_CELL, first, end), size)
@@ -195,5 +206,135 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, blocks: int
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Least shingle hashes kept of a text for its similarity, 32 bits each: a text with so many or fewer is compared exactly.
+SKETCH = 256
+
+
+def sketch(parts: list[bytes], words: int) -> np.ndarray:
+    """The SKETCH least distinct 32-bit hashes of the shingles, sorted."""
+    return np.unique((_shingles(parts, words) >> np.uint64(32)).astype(np.uint32))[:SKETCH] if parts else np.empty(0, np.uint32)
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: the shared part of the SKETCH least of their union."""
+    union = np.union1d(a, b)[:SKETCH]
+    if not len(union):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+
+
+def _candidates(cell: np.ndarray, grid: np.ndarray, x: np.ndarray, ids: np.ndarray, reach: int, masks: list[int], blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids within `reach` bits inside equal runs of `cell` (sorted).
+
+    Small cells give every pair, once over all cells: in the first cell that both
+    share. Large cells give a search forest from a start of their own.
+    """
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    end = np.append(first[1:], len(x))
+    size = end - first
+    a, b = [], []
+    for s, e in zip(first[size > SMALL_CELL], end[size > SMALL_CELL]):
+        order = s + np.random.default_rng(int(cell[s]) & 0xFFFFFFFF).permutation(e - s)
+        p, q = _large_cell(x[order], reach, ids[order])
+        a += p
+        b += q
+    stop = np.repeat(np.where(size > SMALL_CELL, first, end), size)
+    chosen = list(combinations(range(blocks), blocks - reach))
+    rank = np.full(1 << blocks, -1)
+    for k, c in reversed(list(enumerate(chosen))):
+        mask = sum(1 << i for i in c)
+        rank[[m for m in range(1 << blocks) if m & mask == mask]] = k
+    of = [sum(3 << (2 * s) for s in range(32) if s * blocks // 32 == k) for k in range(blocks)]
+    counts = lambda v: (v & np.uint64(EVEN)) + ((v >> np.uint64(1)) & np.uint64(EVEN))
+    at, d = np.arange(len(x)), 1
+    while len(at := at[at + d < stop[at]]):
+        near = at[np.bitwise_count(x[at] ^ x[at + d]) <= reach]
+        if len(near):
+            gap = counts(x[near]) ^ counts(x[near + d])
+            agree = sum(((gap & np.uint64(m)) == 0).astype(np.int64) << k for k, m in enumerate(of))
+            near = near[rank[agree] == grid[near]]
+            a.append(ids[near])
+            b.append(ids[near + d])
+        d += 1
+    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+
+
+def similar_pairs(items: DataFrame, reach: int, blocks: int) -> DataFrame:
+    """(a, b) with a < b: candidates among `items` (iid, fp) whose fingerprints differ in `reach` bits or fewer."""
+    masks = block_masks(blocks, blocks - reach)
+    keyed = items.select("iid", "fp", F.posexplode(F.array(*[segment_counts(F.col("fp")).bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "c"))
+    keyed = keyed.select(F.hash("grid", "c").alias("cell"), F.col("grid").cast("short"), "fp", "iid").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush(cell, grid, x, ids):
+            a, b = _candidates(cell, grid, x.view(np.uint64), ids, reach, masks, blocks)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
+            if sum(len(h[0]) for h in held) >= 1 << 17:
+                every = [np.concatenate(v) for v in zip(*held)]
+                other = np.flatnonzero(every[0] != every[0][-1])
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on
+                if cut:
+                    yield flush(*[v[:cut] for v in every])
+                held = [tuple(v[cut:] for v in every)]
+        if held:
+            yield flush(*[np.concatenate(v) for v in zip(*held)])
+
+    return keyed.mapInArrow(run, "a long, b long").distinct()
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each group of near copies: that of the smallest id.
+
+    Texts link when they are the same words, or when fingerprints over their
+    distinct words differ in `reach` bits or fewer and their `words`-word
+    shingles have a Jaccard similarity of `similarity` or more (exact up to
+    SKETCH shingles, estimated from the SKETCH least hashes beyond). A group is
+    what links reach. Null and blank texts are one group. Repeated rows of an id
+    are one document and stay together; rows with a null id always stay. Columns
+    of any name pass through; an empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    @F.pandas_udf("key string, fp long, least array<int>")
+    def measure(texts):
+        import pandas as pd
+
+        out = []
+        for t in texts:
+            parts = _words(t)
+            fp = _majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(parts)], np.uint64)) if parts else 0
+            out.append((xxhash.xxh3_128_hexdigest(b" ".join(parts)), fp, sketch(parts, words).view(np.int32)))
+        return pd.DataFrame(out, columns=["key", "fp", "least"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), measure(F.col(text_col)).alias("m"))
+    rows = written(rows.select("id", "m.*"))
+    items = rows.groupBy("key").agg(F.min("id").alias("least_id"), F.min("fp").alias("fp"))
+    items = written(items.withColumn("iid", F.monotonically_increasing_id()))
+    pairs = written(similar_pairs(items, reach, blocks))
+
+    @F.pandas_udf("boolean")
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([resemblance(np.asarray(x, np.int32).view(np.uint32), np.asarray(y, np.int32).view(np.uint32)) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+    met = pairs.select(F.col("a").alias("iid")).union(pairs.select("b")).distinct()
+    known = items.join(met, "iid").join(rows.select(F.col("id").alias("least_id"), F.col("key").alias("_key"), F.col("least")), "least_id").filter(F.col("key") == F.col("_key"))
+    known = written(known.dropDuplicates(["iid"]).select("iid", "least"))
+    side = lambda c: known.select(F.col("iid").alias(c), F.col("least").alias(f"s{c}"))
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("sa", "sb")).select("a", "b"))
+    placed = items.join(components(links).withColumnRenamed("node", "iid"), "iid", "left").withColumn("root", F.coalesce("root", "iid"))
+    stay = placed.groupBy("root").agg(F.min("least_id").alias("keep"))
+    gone = rows.join(placed.join(stay, "root").select("key", "keep"), "key").filter("id <> keep").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(written(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

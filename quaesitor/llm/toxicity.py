@@ -261,3 +261,23 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, examples:
     kind = dict(counted.dtypes)["doc_id"]
     out = counted.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose score is under `threshold`, with their columns; texts are read again and never shuffled."""
+    model, _ = fit_and_count(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, examples)
+    shared = docs.sparkSession.sparkContext.broadcast((model, {t: k for k, t in enumerate(model.terms)}))  # bounded like the examples
+
+    @F.pandas_udf("double")
+    def score(texts):
+        import pandas as pd
+
+        m, known = shared.value
+        cache: dict[str, tuple[int, ...]] = {}
+        out = []
+        for t in texts:
+            found = sorted(counts_of(t, known, cache).items())
+            out.append(m.score(np.array([k for k, _ in found], np.int64), np.array([c for _, c in found], float))[0])
+        return pd.Series(out, dtype="float64")
+
+    return docs.filter(score(F.col(text_col)) < threshold)
