@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, mixing, sharding, simhash, tokens, toxicity, urls
+from . import decontaminate, embeddings, html, licences, mixing, sharding, simhash, tokens, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op8_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.by_document(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flagged(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
         "op8_collisions": op8_collisions,
+        "op9_licences": op9_licences,
         "op10_template_leaks": op10_template_leaks,
     }
 
