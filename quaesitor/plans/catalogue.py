@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import annotate, units
+from . import duck, fixture
+
+
+def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.extract(fixture.raw_issues(spark, sf_dir), fixture.raw_pulls(spark, sf_dir), fixture.raw_commits(spark, sf_dir), fixture.raw_emails(spark, sf_dir))
+
+
+def signals(spark: SparkSession, sf_dir: str, version: str = "0.2") -> DataFrame:
+    return annotate.signals(text_units(spark, sf_dir), version)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p05_text_units": text_units, "a02_signals": signals}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p05_text_units": duck.base() + "SELECT * FROM text_units", "a02_signals": duck.base() + "SELECT * FROM signals"}
