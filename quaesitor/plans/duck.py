@@ -64,6 +64,7 @@ def base(version: str = "0.2") -> str:
             blocked = f"list_contains({lst(a.blocked)}, word)"
         ok = allowed if a.listed_only else f"({allowed} OR NOT {blocked})"
         affixes.append(f"SELECT text_unit_id, text, pieces, raw, ix, word, {q(a.rule_id)} AS rule_id, {q(a.category)} AS category, {q(a.subcategory)} AS subcategory, {'NULL' if a.weight is None else a.weight}::DOUBLE AS weight, {q(a.status)} AS status, {q(a.polarity)}::VARCHAR AS polarity FROM words_at WHERE {shape} AND {ok}")
+    mechanisms = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.MECHANISMS.items()) + "}"
     finish = "text_unit_id, parent_id, parent_type, repo, parent_number, role, position, text, lang"
     return rf"""
 WITH cue_list AS MATERIALIZED (SELECT {lst(CUES)} AS cues),
@@ -126,5 +127,9 @@ signals AS (SELECT text_unit_id || '::' || rule_id || '::' || span_start AS sign
 verdicts AS (SELECT CASE kind WHEN 0 THEN 'issue:' || source || ':' || doc_id || ':body' WHEN 1 THEN 'pr:' || source || ':' || doc_id || ':body' WHEN 2 THEN 'commit:' || sha || ':commit_message' ELSE 'email:urn:' || doc_id || ':paragraph:1' END AS text_unit_id,
     'hand' AS model_id, '1' AS model_version, CAST(quality AS INTEGER) AS label, CAST(0.5 + (doc_id % 50) / 100 AS DOUBLE) AS confidence FROM docs JOIN labels USING (doc_id)),
 nk AS (SELECT * FROM signals WHERE layer <> 'classifier' AND status = 'active' AND coalesce(subcategory, '') NOT IN ({', '.join(map(q, rules.certainty_subcategories('0.2')))})),
-replies AS (SELECT r.urn AS reply, p.urn AS parent FROM mails r JOIN mails p ON r.in_reply_to = p.message_id AND r.urn <> p.urn)
+replies AS (SELECT r.urn AS reply, p.urn AS parent FROM mails r JOIN mails p ON r.in_reply_to = p.message_id AND r.urn <> p.urn),
+refs AS (SELECT text_unit_id, parent_id, parent_number, repo, CAST(unnest(range(0, len(ns))) AS INTEGER) AS place, CAST(unnest(ns) AS BIGINT) AS number,
+    coalesce({mechanisms}[lower(unnest(ms))], 'bare') AS mechanism FROM (SELECT *, regexp_extract_all(text, {q(T.REFERENCE.replace(chr(92) + "x0B", chr(92) + "v"))}, 2) AS ns, regexp_extract_all(text, {q(T.REFERENCE.replace(chr(92) + "x0B", chr(92) + "v"))}, 1) AS ms
+      FROM text_units WHERE role IN ('body', 'commit_message', 'comment_body')) t),
+tokens AS (SELECT text_unit_id, CAST(ix AS INTEGER) AS pos, word AS lower FROM tok)
 """
