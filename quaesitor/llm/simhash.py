@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, blocks: int
     """
     prints = written(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", "fp", words).select("doc_id", "fp"))
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(classes, reach, blocks))
+    roots = components(written(fingerprint_links(classes, reach, blocks)))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(least, "root").select("fp", "component_id")
