@@ -125,34 +125,34 @@ def _calibrate_table(cells: DataFrame, keep: float) -> float:
 
 def _measured(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> DataFrame:
     """`docs` with _tokens and each dimension as a string in _0, _1, ..."""
-    rows = docs.withColumn("_tokens", n_tokens(F.col(text_col)))
-    told = {d: topic(F.col(text_col), F.col("_tokens")) if d == "topic" and "topic" not in docs.columns else F.col(d).cast("string") for d in dims}
-    return rows.withColumns({f"_{k}": told[d] for k, d in enumerate(dims)})
+    rows = docs.withColumn("__mix_tokens", n_tokens(F.col(text_col)))
+    told = {d: topic(F.col(text_col), F.col("__mix_tokens")) if d == "topic" and "topic" not in docs.columns else F.col(d).cast("string") for d in dims}
+    return rows.withColumns({f"__mix_{k}": told[d] for k, d in enumerate(dims)})
 
 
 def _factors(measured: DataFrame, targets: Mapping[str, Target], keep: float, driver_cells: int) -> DataFrame:
-    """(_f0, _f1, ..., weight, probability) for each cell of the measured rows."""
-    keys = [f"_{k}" for k in range(len(targets))]
+    """(_f0, _f1, ..., weight, probability) for each cell of the measured rows; marked for broadcast only if counted and few enough for the driver."""
+    keys = [f"__mix_{k}" for k in range(len(targets))]
     goals = list(targets.values())
-    cells = written(measured.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
+    cells = written(measured.groupBy(*keys).agg(F.sum("__mix_tokens").alias("tokens")))
     if cells.count() <= driver_cells:
         got = [tuple(r) for r in cells.collect()]
         tokens = np.array([r[-1] for r in got], float)
         weight = rake([r[:-1] for r in got], tokens, goals)
         m = calibrate(weight, tokens, keep)
-        schema = ", ".join(f"_f{k} string" for k in range(len(goals))) + ", weight double, probability double"
-        return cells.sparkSession.createDataFrame([(*r[:-1], float(w), float(min(1.0, m * w))) for r, w in zip(got, weight)], schema)
+        schema = ", ".join(f"__mix_f{k} string" for k in range(len(goals))) + ", __mix_weight double, __mix_probability double"
+        return F.broadcast(cells.sparkSession.createDataFrame([(*r[:-1], float(w), float(min(1.0, m * w))) for r, w in zip(got, weight)], schema))
     raked = _rake_table(cells, keys, goals)
     m = _calibrate_table(raked, keep)
-    return raked.select(*[F.col(k).alias(f"_f{k[1:]}") for k in keys], "weight", F.least(F.lit(1.0), F.lit(m) * F.col("weight")).alias("probability"))
+    return raked.select(*[F.col(k).alias(f"__mix_f{k.rpartition('_')[2]}") for k in keys], F.col("weight").alias("__mix_weight"), F.least(F.lit(1.0), F.lit(m) * F.col("weight")).alias("__mix_probability"))
 
 
 def _drawn(measured: DataFrame, factors: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """`measured` with weight, probability and _kept; the join leaves it to the planner which side is small."""
+    """`measured` with weight, probability and _kept."""
     same = F.lit(True)
     for k in range(n):
-        same = same & F.col(f"_{k}").eqNullSafe(F.col(f"_f{k}"))
-    return measured.join(factors, same).withColumn("_kept", uniform(F.col(id_col), seed) < F.col("probability"))
+        same = same & F.col(f"__mix_{k}").eqNullSafe(F.col(f"__mix_f{k}"))
+    return measured.join(factors, same).withColumn("__mix_kept", uniform(F.col(id_col), seed) < F.col("__mix_probability"))
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
@@ -169,13 +169,13 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int =
     """
     own = [c for c in {id_col, text_col, *targets} if c in docs.columns]
     rows = _measured(docs.select(*own), list(targets), id_col, text_col)
-    rows = written(rows.select(F.col(id_col).alias("doc_id"), "_tokens", *[f"_{k}" for k in range(len(targets))]))
+    rows = written(rows.select(F.col(id_col).alias("doc_id"), "__mix_tokens", *[f"__mix_{k}" for k in range(len(targets))]))
     out = _drawn(rows, _factors(rows, targets, keep, driver_cells), len(targets), seed, "doc_id")
-    return out.select("doc_id", *[F.col(f"_{k}").alias(d) for k, d in enumerate(targets)], F.col("_tokens").alias("n_tokens"), "weight", "probability", F.col("_kept").alias("kept"))
+    return out.select("doc_id", *[F.col(f"__mix_{k}").alias(d) for k, d in enumerate(targets)], F.col("__mix_tokens").alias("n_tokens"), F.col("__mix_weight").alias("weight"), F.col("__mix_probability").alias("probability"), F.col("__mix_kept").alias("kept"))
 
 
 def sampled(docs: DataFrame, targets: Mapping[str, Target], keep: float, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """The rows of `docs` that mix() keeps, with their columns; texts are read twice and never shuffled."""
+    """The rows of `docs` that mix() keeps, with their columns; texts are read twice, and not shuffled unless there are more than `driver_cells` cells."""
     own = [c for c in {id_col, text_col, *targets} if c in docs.columns]
     factors = _factors(_measured(docs.select(*own), list(targets), id_col, text_col), targets, keep, driver_cells)
-    return _drawn(_measured(docs, list(targets), id_col, text_col), factors, len(targets), seed, id_col).filter("_kept").select(*[docs[c] for c in docs.columns])
+    return _drawn(_measured(docs, list(targets), id_col, text_col), factors, len(targets), seed, id_col).filter("__mix_kept").select(*[docs[c] for c in docs.columns])
