@@ -112,5 +112,5 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no benchmark item, with their columns; rows with a null id always stay."""
-    found = written(contamination(docs.filter(F.col(id_col).isNotNull()), benchmark, window, share, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(found, F.col(id_col) == F.col("_leak"), "left_anti")
+    found = written(contamination(docs.filter(F.col(id_col).isNotNull()), benchmark, window, share, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__benchmark_leak")).distinct())
+    return docs.join(found, F.col(id_col) == F.col("__benchmark_leak"), "left_anti")

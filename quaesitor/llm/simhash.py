@@ -332,8 +332,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach
     links = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("sa", "sb")).select("a", "b"))
     placed = items.join(components(links).withColumnRenamed("node", "iid"), "iid", "left").withColumn("root", F.coalesce("root", "iid"))
     stay = placed.groupBy("root").agg(F.min("least_id").alias("keep"))
-    gone = rows.join(placed.join(stay, "root").select("key", "keep"), "key").filter("id <> keep").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(written(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = rows.join(placed.join(stay, "root").select("key", "keep"), "key").filter("id <> keep").select(F.col("id").alias("__near_copy")).distinct()
+    return docs.join(written(gone), F.col(id_col) == F.col("__near_copy"), "left_anti")
 
 
 def hex16(fp: Column) -> Column:
