@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
+#: Bad rows that a combination needs at least, whatever its share, and tokens that it has at most.
+LEAST_ROWS, MOST_TOKENS = 20, 4
+
 #: (action, rule): a rule is a host, then the start of a path.
 Rules = list[tuple[str, str]]
 
@@ -72,28 +75,29 @@ def matches(items: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     return found.filter(F.size(F.array_except("antecedent", "tokens")) == 0).select(id_col, "rule_id")
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Rules antecedent => bad from `labelled` (tokens array, bad boolean): rule_id, antecedent, support, confidence.
 
     FP-growth runs over the bad rows; a combination's support is its share of all
     labelled rows that are bad and hold it, its confidence the share of bad among
-    the rows that hold it. A combination is dropped if a part of it is a rule
-    with at least its confidence. No bad rows give no rules.
+    the rows that hold it; fewer than `least_rows` bad rows are no evidence. A
+    combination is dropped if a part of it is a rule with at least its confidence.
+    No bad rows give no rules.
     """
     spark = labelled.sparkSession
     rows = written(labelled.filter(F.size("tokens") > 0).select("tokens", "bad"))
     n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     schema = "rule_id string, antecedent array<string>, support double, confidence double"
-    if not n or not bad or min_support * n > bad:
+    least_bad = max(min_support * n, least_rows)
+    if not bad or least_bad > bad:
         return spark.createDataFrame([], schema)
-    least = min(1.0, max(min_support * n, 2) / bad)
+    least = least_bad / bad
     sets = FPGrowth(itemsCol="tokens", minSupport=least, minConfidence=1.0).fit(rows.filter("bad").select("tokens")).freqItemsets
-    # what holds the same rows says the same: closed combinations stand under one id each
-    rules = written(sets.filter(F.size("items") <= 4).select(F.array_sort("items").alias("antecedent"), "freq").withColumn("rule_id", F.array_join("antecedent", " ")))
+    rules = written(sets.filter(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("antecedent"), "freq").withColumn("rule_id", F.array_join("antecedent", " ")))
     shapes = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).withColumn("shape", F.monotonically_increasing_id())
     shapes = written(shapes)
     held = matches(shapes, rules, "shape").join(shapes.select("shape", "n", "b"), "shape").groupBy("rule_id").agg(F.sum("n").alias("held"), F.sum("b").alias("b"))
-    good = held.withColumn("confidence", F.col("b") / F.col("held")).withColumn("support", F.col("b") / F.lit(float(n))).filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+    good = held.withColumn("confidence", F.col("b") / F.col("held")).withColumn("support", F.col("b") / F.lit(float(n))).filter((F.col("confidence") >= min_confidence) & (F.col("b") >= least_bad))
     good = written(rules.join(good, "rule_id").select("rule_id", "antecedent", "support", "confidence"))
     parts = matches(good.select("rule_id", F.col("antecedent").alias("tokens")).withColumnRenamed("rule_id", "whole"), good, "whole").filter("whole <> rule_id")
     better = parts.join(good.select("rule_id", F.col("confidence").alias("part_confidence")), "rule_id").join(good.select(F.col("rule_id").alias("whole"), "confidence"), "whole").filter("part_confidence >= confidence")
@@ -120,3 +124,39 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Rules, min_support: float
     out = urls.join(hits, "_row", "left").withColumn("_by", listed(rules))
     verdict = F.coalesce(F.col("_by.action"), F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("_by.rule").alias("rule"), verdict.alias("verdict"), "mined", "confidence")
+
+
+def oracle(rules: Rules, min_support: float = 0.001, min_confidence: float = 0.5) -> str:
+    """judge() in DuckDB's SQL, counting every combination of the bad urls' tokens; for small tables and ids that do not repeat."""
+    cases, names = [], []
+    for action, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
+        host, path = _split(rule)
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        cases.append(f"WHEN {fits} THEN '{action}'")
+        names.append(f"WHEN {fits} THEN '{rule}'")
+    by, name = (f"CASE {' '.join(c)} END" if c else "CAST(NULL AS VARCHAR)" for c in (cases, names))
+    mark = lambda kind, a: f"list_transform({a}, lambda x: '{kind}:' || x)"
+    some = lambda a: f"list_filter({a}, lambda x: x <> '')"
+    sets = " UNION ALL ".join(
+        f"SELECT t1.page_id, [{', '.join(f't{i}.token' for i in range(1, k + 1))}] AS items FROM tok t1" + "".join(f" JOIN tok t{i} ON t{i}.page_id = t1.page_id AND t{i}.token > t{i - 1}.token" for i in range(2, k + 1)) for k in range(1, MOST_TOKENS + 1)
+    )
+    return f"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+tk AS (SELECT *, list_distinct(flatten([
+    CASE WHEN host = '' THEN []::VARCHAR[] ELSE ['host:' || host] END, {mark("label", some("string_split(host, '.')"))},
+    {mark("word", some("flatten(list_transform(string_split(host, '.'), lambda x: string_split(x, '-')))"))},
+    {mark("dir", "list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]'))")},
+    {mark("ext", some("[regexp_extract(path, '[.]([A-Za-z]{1,5})$', 1)]"))},
+    {mark("key", "regexp_extract_all(coalesce(regexp_extract(url, '[?]([^#]*)', 1), ''), '(?:^|&)([^=&]+)', 1)")},
+    {mark("part", some("[regexp_extract(coalesce(url, ''), '#(.*)$', 1)]"))}])) AS tokens FROM hp),
+marked AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT t.page_id, t.tokens, m.bad FROM tk t JOIN marked m ON m.doc_id = try_cast(regexp_extract(t.path, '/([0-9]{{1,18}})(?:[.][A-Za-z]+)?/?$', 1) AS BIGINT) WHERE len(t.tokens) > 0),
+least AS (SELECT greatest({min_support} * count(*), {LEAST_ROWS}) AS bad FROM lab),
+tok AS (SELECT page_id, unnest(tokens) AS token FROM lab WHERE bad),
+common AS (SELECT token FROM tok GROUP BY token HAVING count(*) >= (SELECT bad FROM least)),
+sets AS (SELECT items, count(*) AS b FROM (SELECT * FROM ({sets.replace("tok t", "(SELECT * FROM tok SEMI JOIN common USING (token)) t")}) s) x GROUP BY items HAVING count(*) >= (SELECT bad FROM least)),
+good AS (SELECT s.items, s.b, count(*) AS held, s.b / count(*) AS confidence FROM sets s JOIN lab l ON list_has_all(l.tokens, s.items) GROUP BY s.items, s.b HAVING s.b / count(*) >= {min_confidence}),
+mined AS (SELECT items, confidence, array_to_string(items, ' ') AS rule_id FROM good g WHERE NOT EXISTS (SELECT 1 FROM good p WHERE len(p.items) < len(g.items) AND list_has_all(g.items, p.items) AND p.confidence >= g.confidence)),
+hits AS (SELECT t.page_id, list_sort(list(DISTINCT m.rule_id)) AS mined, max(m.confidence) AS confidence FROM tk t JOIN mined m ON list_has_all(t.tokens, m.items) GROUP BY t.page_id)
+SELECT page_id, host, path, {name} AS rule, coalesce({by}, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, mined, confidence FROM tk LEFT JOIN hits USING (page_id)"""

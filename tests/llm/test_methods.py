@@ -104,7 +104,7 @@ def test_mined_rules_equal_counting(spark):
     for k in range(400):
         t = sorted(rng.sample(["a", "b", "c", "d", "e"], rng.randint(1, 4)))
         rows.append((t, {"a", "b"} <= set(t) and rng.random() < 0.9 or rng.random() < 0.05))
-    got = {r.rule_id: (r.support, r.confidence) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6).collect()}
+    got = {r.rule_id: (r.support, r.confidence) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6, least_rows=2).collect()}
     want = {}
     for n in range(1, 5):
         for c in itertools.combinations("abcde", n):
