@@ -114,3 +114,36 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float
     """The rows of `docs` that hold no benchmark item, with their columns; rows with a null id always stay."""
     found = written(contamination(docs.filter(F.col(id_col).isNotNull()), benchmark, window, share, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__benchmark_leak")).distinct())
     return docs.join(found, F.col(id_col) == F.col("__benchmark_leak"), "left_anti")
+
+
+def oracle(window: int = 5, share: float = 0.8, inconsistent: float = 0.2) -> str:
+    """flagged() in DuckDB's SQL, token by token, for small tables and ids that do not repeat."""
+    word = WORD.replace("'", "''")
+    units = ", ".join(f"'{u}'" for u in UNITS.split())
+
+    def templated(raw: str) -> str:
+        return (
+            f"list_transform(range(1, len({raw}) + 1), lambda i: CASE WHEN regexp_matches({raw}[i], '^\\p{{Lu}}') THEN '{NAME}' WHEN regexp_matches({raw}[i], '^[0-9]') THEN '{NUMBER}' "
+            f"WHEN i > 1 AND regexp_matches({raw}[i - 1], '^[0-9]') AND lower({raw}[i]) IN ({units}) THEN '{UNIT}' ELSE lower({raw}[i]) END)"
+        )
+
+    last = window - 1
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{word}') AS raw FROM documents),
+dt AS (SELECT doc_id, raw, {templated("raw")} AS tpl FROM d WHERE len(raw) > 0),
+dw AS (SELECT doc_id, raw, tpl, unnest(range(1, greatest(len(tpl) - {last}, 1) + 1)) AS pos FROM dt),
+dk AS (SELECT doc_id, pos, raw[pos:pos + {last}] AS dwords, tpl[pos:pos + {last}] AS t FROM dw),
+b AS (SELECT item_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '(^|[.!?]\\s+|\\n\\s*)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g') AS opened FROM benchmark),
+bs AS (SELECT item_id, regexp_extract_all(text, '{word}') AS raw, unnest([text, array_to_string(list_transform(string_split(opened, chr(1)), lambda x, i: CASE WHEN i = 1 THEN x ELSE lower(left(x, 1)) || substring(x, 2) END), '')]) AS v FROM b),
+bv AS (SELECT item_id, raw, regexp_extract_all(v, '{word}') AS vr FROM bs),
+bt AS (SELECT item_id, raw, {templated("vr")} AS tpl FROM bv WHERE len(vr) > 0),
+bw AS (SELECT item_id, raw, tpl, unnest(range(1, greatest(len(tpl) - {last}, 1) + 1)) AS ipos FROM bt),
+bk AS (SELECT DISTINCT item_id, ipos, len(raw) AS n_words, raw[ipos:ipos + {last}] AS iwords, tpl[ipos:ipos + {last}] AS t FROM bw),
+met AS (SELECT doc_id, item_id, pos, ipos, pos - ipos AS diagonal, n_words, dwords, iwords, t FROM dk JOIN bk USING (t)),
+slots AS (SELECT DISTINCT doc_id, item_id, diagonal, ipos + k - 1 AS place, t[k] AS kind, lower(iwords[k]) AS i, lower(dwords[k]) AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM met) x WHERE starts_with(t[k], '#')),
+per AS (SELECT doc_id, item_id, diagonal, count(DISTINCT (kind, i, w)) AS pairs, count(DISTINCT (kind, i)) AS sources, count(DISTINCT (kind, w)) AS goals, count(*) AS slots, count(*) FILTER (i <> w) AS changed FROM slots GROUP BY ALL),
+good AS (SELECT DISTINCT m.doc_id, m.item_id, m.diagonal, coalesce(p.changed, 0) AS changed FROM met m LEFT JOIN per p USING (doc_id, item_id, diagonal) WHERE p.pairs IS NULL OR p.pairs - least(p.sources, p.goals) <= {inconsistent} * p.pairs),
+covered AS (SELECT doc_id, item_id, any_value(n_words) AS n_words, count(DISTINCT place) AS n FROM (SELECT m.doc_id, m.item_id, m.n_words, unnest(range(m.ipos, least(m.ipos + {last}, m.n_words) + 1)) AS place FROM met m JOIN good USING (doc_id, item_id, diagonal)) x GROUP BY doc_id, item_id),
+held AS (SELECT c.doc_id, c.item_id, CAST(c.n AS DOUBLE) / c.n_words AS coverage, (SELECT sum(changed) FROM good g WHERE g.doc_id = c.doc_id AND g.item_id = c.item_id) AS changed FROM covered c WHERE CAST(c.n AS DOUBLE) / c.n_words >= {share}),
+by_doc AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(coverage) AS coverage, CAST(min(changed) AS BIGINT) AS changed FROM held GROUP BY doc_id)
+SELECT d.doc_id, b.doc_id IS NOT NULL AS contaminated, coalesce(b.items, []) AS items, coalesce(b.coverage, 0.0::DOUBLE) AS coverage, coalesce(b.changed, 0) AS changed FROM documents d LEFT JOIN by_doc b USING (doc_id)"""

@@ -77,4 +77,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": sharding.oracle(SHARD_BYTES)}
+    return {
+        "op3_url_rules": urls.oracle(URL_RULES),
+        "op7_sharding": sharding.oracle(SHARD_BYTES),
+        "op10_template_leaks": decontaminate.oracle(),
+    }
