@@ -263,7 +263,7 @@ def similar_pairs(items: DataFrame, reach: int, blocks: int) -> DataFrame:
     """(a, b) with a < b: candidates among `items` (iid, fp) whose fingerprints differ in `reach` bits or fewer."""
     masks = block_masks(blocks, blocks - reach)
     keyed = items.select("iid", "fp", F.posexplode(F.array(*[segment_counts(F.col("fp")).bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "c"))
-    keyed = keyed.select(F.hash("grid", "c").alias("cell"), F.col("grid").cast("short"), "fp", "iid").repartition("cell").sortWithinPartitions("cell")
+    keyed = keyed.select(F.hash("grid", "c").alias("cell"), F.col("grid").cast("short"), "fp", "iid").repartition("cell").sortWithinPartitions("cell", "fp", "iid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -316,7 +316,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), measure(F.col(text_col)).alias("m"))
     rows = written(rows.select("id", "m.*"))
     items = rows.groupBy("key").agg(F.min("id").alias("least_id"), F.min("fp").alias("fp"))
-    items = written(items.withColumn("iid", F.monotonically_increasing_id()))
+    items = written(items.orderBy("least_id", "key").withColumn("iid", F.monotonically_increasing_id()))  # ids in this order, so that runs agree
     pairs = written(similar_pairs(items, reach, blocks))
 
     @F.pandas_udf("boolean")
