@@ -33,6 +33,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that written() made and nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        break
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches that stay small with long texts in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -75,7 +84,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.union(e.select("v", "u"))
         large = toward_min(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = toward_min(large, F.lit(True)).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = once(small)
+        before, e = e, once(small)
+        discard(before)
         now = checksum(e)
         if now == last:
             break

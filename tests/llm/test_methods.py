@@ -223,6 +223,17 @@ def groups(n, edges):
     return [find(k) for k in range(n)]
 
 
+def test_components_of_chains_stars_and_loops(spark):
+    from quaesitor.llm.common import components
+
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 260)] + [(7, 7)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(90)] + [(100, 101)]
+    out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = groups(500, edges)
+    assert out == {x: root[x] for e in edges for x in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_simhash_equals_all_pairs(spark, sf):
     docs = sorted(table(spark, sf, "documents").collect(), key=lambda r: r.doc_id)
     fps = [plain_fingerprint(r.text, 4) for r in docs]
