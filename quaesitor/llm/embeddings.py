@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 #: Vectors a line should hold on average, at most: sets the axes of a line from the number of vectors.
-PER_LINE = 16
+PER_LINE = 4
 #: Share of pairs at the threshold that the window may miss in one projection, and that the count may lose.
 WINDOW_LOSS, COUNT_LOSS = 0.02, 0.01
 SEED = 8
