@@ -146,12 +146,14 @@ def dot(a: str, b: str) -> str:
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, classes) of `vectors` (vec_id, v array<double>): equal usable vectors are one class.
 
-    rows: vec_id, cid (null if the vector is null, zero or holds null or non-finite components).
-    classes: cid, v scaled to unit length, size, least (smallest vec_id).
+    rows: vec_id, v, h, a hash of v that stands first in sorts (both null if the
+    vector is null, zero or holds null or non-finite components). classes: cid,
+    h, v, size, least (smallest vec_id).
     """
     usable = F.expr("v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
-    rows = written(vectors.withColumn("v", F.when(usable, F.transform("v", lambda x: x + F.lit(0.0)))))
-    classes = rows.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    rows = vectors.withColumn("v", F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))))
+    rows = written(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
+    classes = rows.filter("v IS NOT NULL").groupBy("h", "v").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     return rows, classes
 
@@ -191,10 +193,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     sizes = classes.select("cid", "size")
     both = links.select("a", "b").union(links.select("b", "a"))
     direct = both.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("size").alias("others"))
-    placed = classes.select("cid", "v", "size", "least").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").join(direct, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    placed = classes.select("cid", "h", "v", "size", "least").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").join(direct, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = written(placed)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select(F.col("v").alias("_v"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(of, F.col("v") == F.col("_v"), "left")
+    of = placed.join(least, "root").select(F.col("h").alias("_h"), F.col("v").alias("_v"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(of, (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v")), "left")
     component = F.when(F.col("_v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
