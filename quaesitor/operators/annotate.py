@@ -6,7 +6,7 @@ import json
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,10 +24,14 @@ def with_tokens(units: DataFrame) -> DataFrame:
 
 
 def token_table(units: DataFrame) -> DataFrame:
-    """One row per token: text_unit_id, pos (from 0), token, lower, span_start, span_end."""
-    t = with_tokens(units).select("text_unit_id", "pieces", "raw", F.posexplode("raw").alias("pos", "token"), "low")
-    start, end = _span(F.col("pos"), F.lit(1))
-    return t.withColumns({"span_start": start, "span_end": end, "lower": F.col("low")[F.col("pos")]}).select("text_unit_id", "pos", "token", "lower", "span_start", "span_end")
+    """One row per token: text_unit_id, pos (from 0), token, lower, span_start, span_end.
+
+    Offsets are running sums of the pieces' lengths, so a long text costs no more than its tokens.
+    """
+    t = with_tokens(units).select("text_unit_id", F.posexplode("pieces").alias("pos", "piece"))
+    upto = Window.partitionBy("text_unit_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"span_end": F.sum(F.length("piece")).over(upto).cast("int"), "token": F.regexp_replace("piece", f"^{T.WHITE}+", "")})
+    return t.withColumns({"span_start": (F.col("span_end") - F.length("token")).cast("int"), "lower": F.lower("token")}).select("text_unit_id", "pos", "token", "lower", "span_start", "span_end")
 
 
 def _span(at: Column, n: Column) -> tuple[Column, Column]:
