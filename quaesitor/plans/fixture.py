@@ -43,7 +43,7 @@ def cue(shift: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    d = d.withColumn("body", F.concat(cue(0), F.lit(" "), F.left(F.coalesce("text", F.lit("")), F.lit(400))))
+    d = d.withColumn("body", F.concat(cue(0), F.lit(" "), F.coalesce("text", F.lit(""))))
     author = F.concat(F.lit("user"), (F.col("doc_id") % 37).cast("string"), F.when(F.col("doc_id") % 29 == 0, "[bot]").otherwise(""))
     created = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
     return d.withColumns({"author": author, "created": created, "kind": (F.col("doc_id") % 4).cast("int")})

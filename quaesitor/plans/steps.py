@@ -58,7 +58,7 @@ def _is_in(words):
 
 
 def language(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", guess_language(F.substring("body", 50, 400)).alias("guess"))
+    return _docs(spark, sf_dir).select("doc_id", guess_language(F.col("body")).alias("guess"))
 
 
 def language_sql():
