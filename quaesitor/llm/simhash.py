@@ -11,6 +11,7 @@ can be in range. Pairs in a cell are then compared bit by bit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -288,49 +289,177 @@ def similar_pairs(items: DataFrame, reach: int, blocks: int) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: The order of shingles puts those that a sample of so many texts holds HOT_DF times or more last, up to HOT of them. Any order finds the same pairs.
+SAMPLE, HOT_DF, HOT = 30_000, 4, 200_000
+
+
+def frequent_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """Hashes of frequent shingles of a sample of the texts, the rarest first."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts):
+        return texts.map(lambda t: np.unique(_shingles(_words(t), words)).view(np.int64))
+
+    every = max(1, round(docs.count() / SAMPLE))
+    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    found = some.select(F.explode(shingles(F.col(text))).alias("h")).groupBy("h").count().filter(F.col("count") >= HOT_DF)
+    found = found.orderBy(F.desc("count"), "h").limit(HOT).toPandas()
+    return found["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def prefix(shingles: np.ndarray, similarity: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles (sorted, distinct) that come first in one order of all: two sets of the similarity share one of these.
+
+    A partner shares at least similarity x n of n shingles, so all but
+    similarity x n of them, and one more, cannot all be missing from it. Frequent
+    shingles (`known`, sorted, with their `rank`) come last in the order.
+    """
+    n = len(shingles)
+    size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not len(known):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    hot = known[at] == shingles
+    late = shingles[hot][np.argsort(rank[at[hot]])]
+    return np.concatenate((shingles[~hot], late))[:size]
+
+
+def _runs(keyed: DataFrame, schema: str, work) -> DataFrame:
+    """work(columns) on stretches of `keyed` that hold the groups of its first column (sorted) whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)])
+                rows += batch.num_rows
+            if rows >= 1 << 17:
+                every = [np.concatenate(v) for v in zip(*held)]
+                other = np.flatnonzero(every[0] != every[0][-1])
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+                if cut:
+                    yield work([v[:cut] for v in every])
+                held = [[v[cut:] for v in every]]
+                rows = 0
+        if held:
+            every = [np.concatenate(v) for v in zip(*held)]
+            if len(every[0]):
+                yield work(every)
+
+    return keyed.mapInArrow(run, schema)
+
+
+def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and end of each run of equal values."""
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return first, np.append(first[1:], len(h))
+
+
+def meetings(prefixes: DataFrame) -> DataFrame:
+    """The rows (h, n, iid, pos) of `prefixes` whose shingle h another text has too."""
+
+    def work(columns):
+        first, end = _bounds(columns[0])
+        shared = np.repeat(end - first > 1, end - first)
+        return pa.RecordBatch.from_arrays([pa.array(v[shared]) for v in columns], names=["h", "n", "iid", "pos"])
+
+    return _runs(prefixes.repartition("h").sortWithinPartitions("h", "n", "iid"), "h long, n int, iid long, pos int", work)
+
+
+def met_pairs(met: DataFrame, similarity: float, adjacent: bool) -> DataFrame:
+    """(a, b) with a < b: texts that share a shingle of `met` and can have the similarity by their sizes and the shingle's places.
+
+    With adjacent only neighbours by size in each group; else all pairs of
+    different `root`. No pair of the similarity is passed over: at the first
+    shingle in order that both have, all shared ones come at or after it.
+    """
+
+    def work(columns):
+        h, n, ids, pos, root = columns
+        first, end = _bounds(h)
+        stop = np.repeat(end, end - first)
+        a, b = [], []
+        at, d = np.arange(len(h)), 1
+        while len(at := at[at + d < stop[at]]):
+            at = at[n[at] >= similarity * n[at + d] - 1e-6]  # sorted by size: farther ones are larger still
+            to = at + d
+            least = similarity / (1 + similarity) * (n[at].astype(np.int64) + n[to]) - 1e-6
+            near = (root[at] != root[to]) & (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least)
+            a.append(ids[at[near]])
+            b.append(ids[to[near]])
+            d += 1
+            if adjacent:
+                break
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    keyed = met.select("h", "n", "iid", "pos", "root").repartition("h").sortWithinPartitions("h", "n", "iid")
+    return _runs(keyed, "a long, b long", work).distinct()
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group of near copies: that of the smallest id.
 
-    Texts link when they are the same words, or when fingerprints over their
-    distinct words differ in `reach` bits or fewer and their `words`-word
-    shingles have a Jaccard similarity of `similarity` or more (exact up to
-    SKETCH shingles, estimated from the SKETCH least hashes beyond). A group is
-    what links reach. Null and blank texts are one group. Repeated rows of an id
-    are one document and stay together; rows with a null id always stay. Columns
-    of any name pass through; an empty table gives an empty table.
+    Texts link when they are the same words, or when their sets of `words`-word
+    shingles have a Jaccard similarity of `similarity` or more. Every such pair
+    shares one of the first shingles of both in a common order; what meets there
+    is decided by their sketches (exact up to
+    SKETCH shingles, estimated from the SKETCH least hashes beyond). Neighbours by size come first, then all pairs that these
+    have not put in one group. A group is what links reach. Null and blank texts
+    are one group. Repeated rows of an id are one document and stay together;
+    rows with a null id always stay. Columns of any name pass through; an empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
-
-    @F.pandas_udf("key string, fp long, least array<int>")
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    hot = frequent_shingles(texts, "_text", words)
+    order = np.argsort(hot)
+    known = hot[order]
+    digest = lambda parts: xxhash.xxh3_128_hexdigest(b" ".join(parts))
+    every = lambda parts: np.unique(_shingles(parts, words)) if parts else np.empty(0, np.uint64)
+
+    @F.pandas_udf("key string, n int, first array<long>")
     def measure(texts):
         import pandas as pd
 
         out = []
         for t in texts:
             parts = _words(t)
-            fp = _majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(parts)], np.uint64)) if parts else 0
-            out.append((xxhash.xxh3_128_hexdigest(b" ".join(parts)), fp, sketch(parts, words).view(np.int32)))
-        return pd.DataFrame(out, columns=["key", "fp", "least"])
+            s = every(parts)
+            out.append((digest(parts), len(s), prefix(s, similarity, known, order).view(np.int64)))
+        return pd.DataFrame(out, columns=["key", "n", "first"])
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), measure(F.col(text_col)).alias("m"))
-    rows = written(rows.select("id", "m.*"))
-    items = rows.groupBy("key").agg(F.min("id").alias("least_id"), F.min("fp").alias("fp"))
-    items = written(items.orderBy("least_id", "key").withColumn("iid", F.monotonically_increasing_id()))  # ids in this order, so that runs agree
-    pairs = written(similar_pairs(items, reach, blocks))
+    @F.pandas_udf("key string, held array<long>")
+    def whole(texts):
+        import pandas as pd
+
+        return pd.DataFrame([(digest(p), sketch(p, words).astype(np.int64)) for p in map(_words, texts)], columns=["key", "held"])
 
     @F.pandas_udf("boolean")
     def alike(a, b):
         import pandas as pd
 
-        return pd.Series([resemblance(np.asarray(x, np.int32).view(np.uint32), np.asarray(y, np.int32).view(np.uint32)) >= similarity for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([resemblance(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
 
-    met = pairs.select(F.col("a").alias("iid")).union(pairs.select("b")).distinct()
-    known = items.join(met, "iid").join(rows.select(F.col("id").alias("least_id"), F.col("key").alias("_key"), F.col("least")), "least_id").filter(F.col("key") == F.col("_key"))
-    known = written(known.dropDuplicates(["iid"]).select("iid", "least"))
-    side = lambda c: known.select(F.col("iid").alias(c), F.col("least").alias(f"s{c}"))
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("sa", "sb")).select("a", "b"))
-    placed = items.join(components(links).withColumnRenamed("node", "iid"), "iid", "left").withColumn("root", F.coalesce("root", "iid"))
+    rows = written(texts.select("id", measure(F.col("_text")).alias("m")).select("id", "m.*"))
+    items = rows.groupBy("key").agg(F.min("id").alias("least_id"))
+    items = written(items.orderBy("least_id", "key").withColumn("iid", F.monotonically_increasing_id()))  # ids in this order, so that runs agree
+    one = items.join(rows.withColumnRenamed("id", "least_id"), ["least_id", "key"]).dropDuplicates(["iid"])
+    met = written(meetings(one.select(F.posexplode("first").alias("pos", "h"), "n", "iid").select("h", "n", "iid", "pos")))
+    ids = met.select("iid").distinct().join(items, "iid").select(F.col("least_id").alias("id"), F.col("key").alias("_key"), "iid")
+    sets = texts.join(ids, "id").select("iid", "_key", whole(F.col("_text")).alias("m")).filter("m.key = _key")
+    sets = written(sets.select("iid", "m.held").dropDuplicates(["iid"]))
+    side = lambda c: sets.select(F.col("iid").alias(c), F.col("held").alias(f"s{c}"))
+    linked = lambda pairs: written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("sa", "sb")).select("a", "b"))
+
+    near = linked(written(met_pairs(met.withColumn("root", F.col("iid")), similarity, adjacent=True)))
+    roots = written(components(near)).withColumnRenamed("node", "iid")
+    apart = met.join(roots, "iid", "left").withColumn("root", F.coalesce("root", "iid"))
+    far = linked(written(met_pairs(apart, similarity, adjacent=False)))
+    placed = items.join(components(near.union(far)).withColumnRenamed("node", "iid"), "iid", "left").withColumn("root", F.coalesce("root", "iid"))
     stay = placed.groupBy("root").agg(F.min("least_id").alias("keep"))
     gone = rows.join(placed.join(stay, "root").select("key", "keep"), "key").filter("id <> keep").select(F.col("id").alias("__near_copy")).distinct()
     return docs.join(written(gone), F.col(id_col) == F.col("__near_copy"), "left_anti")

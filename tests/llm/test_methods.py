@@ -254,6 +254,36 @@ def test_links_of_dense_and_sparse_cells():
     assert got == want
 
 
+def near_pair(rng, n, changed, block):
+    """Two texts of Zipf-like words: the second has other words, in one block at its end or scattered."""
+    vocabulary = [f"w{k}" for k in range(4000)]
+    draw = lambda m: [vocabulary[min(3999, int(rng.paretovariate(0.6)))] for _ in range(m)]
+    a = draw(n)
+    if block:
+        return " ".join(a), " ".join(a + draw(changed))
+    b = list(a)
+    for k in rng.sample(range(n), changed):
+        b[k] = f"x{rng.randrange(4000)}"
+    return " ".join(a), " ".join(b)
+
+
+def shingle_set(text):
+    w = simhash._words(text)
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("block", [True, False])
+def test_every_near_pair_is_linked(spark, block):
+    """Pairs just over the similarity, by a block of new words and by scattered ones: none is missed."""
+    rng = random.Random(60 + block)
+    pairs = [near_pair(rng, n := rng.randint(120, 250), round(n * rng.uniform(0.05, 0.22)) if block else max(1, round(n * 0.012)), block) for _ in range(60)]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    near = {2 * k for k, (a, b) in enumerate(pairs) if alike(shingle_set(a), shingle_set(b))}
+    rows = [(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    got = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 20 and got == {i for i, _ in rows} - {k + 1 for k in near}
+
+
 def test_near_copies_leave_one(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
