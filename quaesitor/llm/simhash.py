@@ -224,71 +224,6 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
 
 
-def _candidates(cell: np.ndarray, grid: np.ndarray, x: np.ndarray, ids: np.ndarray, reach: int, masks: list[int], blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids within `reach` bits inside equal runs of `cell` (sorted).
-
-    Small cells give every pair, once over all cells: in the first cell that both
-    share. Large cells give a search forest from a start of their own.
-    """
-    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    end = np.append(first[1:], len(x))
-    size = end - first
-    a, b = [], []
-    for s, e in zip(first[size > SMALL_CELL], end[size > SMALL_CELL]):
-        order = s + np.random.default_rng(int(cell[s]) & 0xFFFFFFFF).permutation(e - s)
-        p, q = _large_cell(x[order], reach, ids[order])
-        a += p
-        b += q
-    stop = np.repeat(np.where(size > SMALL_CELL, first, end), size)
-    chosen = list(combinations(range(blocks), blocks - reach))
-    rank = np.full(1 << blocks, -1)
-    for k, c in reversed(list(enumerate(chosen))):
-        mask = sum(1 << i for i in c)
-        rank[[m for m in range(1 << blocks) if m & mask == mask]] = k
-    of = [sum(3 << (2 * s) for s in range(32) if s * blocks // 32 == k) for k in range(blocks)]
-    counts = lambda v: (v & np.uint64(EVEN)) + ((v >> np.uint64(1)) & np.uint64(EVEN))
-    at, d = np.arange(len(x)), 1
-    while len(at := at[at + d < stop[at]]):
-        near = at[np.bitwise_count(x[at] ^ x[at + d]) <= reach]
-        if len(near):
-            gap = counts(x[near]) ^ counts(x[near + d])
-            agree = sum(((gap & np.uint64(m)) == 0).astype(np.int64) << k for k, m in enumerate(of))
-            near = near[rank[agree] == grid[near]]
-            a.append(ids[near])
-            b.append(ids[near + d])
-        d += 1
-    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-
-
-def similar_pairs(items: DataFrame, reach: int, blocks: int) -> DataFrame:
-    """(a, b) with a < b: candidates among `items` (iid, fp) whose fingerprints differ in `reach` bits or fewer."""
-    masks = block_masks(blocks, blocks - reach)
-    keyed = items.select("iid", "fp", F.posexplode(F.array(*[segment_counts(F.col("fp")).bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "c"))
-    keyed = keyed.select(F.hash("grid", "c").alias("cell"), F.col("grid").cast("short"), "fp", "iid").repartition("cell").sortWithinPartitions("cell", "fp", "iid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(cell, grid, x, ids):
-            a, b = _candidates(cell, grid, x.view(np.uint64), ids, reach, masks, blocks)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
-            if sum(len(h[0]) for h in held) >= 1 << 17:
-                every = [np.concatenate(v) for v in zip(*held)]
-                other = np.flatnonzero(every[0] != every[0][-1])
-                cut = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on
-                if cut:
-                    yield flush(*[v[:cut] for v in every])
-                held = [tuple(v[cut:] for v in every)]
-        if held:
-            yield flush(*[np.concatenate(v) for v in zip(*held)])
-
-    return keyed.mapInArrow(run, "a long, b long").distinct()
-
-
 #: The order of shingles puts those that a sample of so many texts holds HOT_DF times or more last, up to HOT of them. Any order finds the same pairs.
 SAMPLE, HOT_DF, HOT = 30_000, 4, 200_000
 

@@ -298,6 +298,18 @@ def test_near_copies_leave_one(spark, sf):
     assert len(got ^ want) <= 0.02 * len(rows)
 
 
+def test_partners_among_many_alike_in_words(spark):
+    """120 texts of the same distinct words: each is linked to its near copy and to no other."""
+    rng = random.Random(63)
+    rows = []
+    for k in range(60):
+        w = [f"w{i}" for i in range(200)]
+        rng.shuffle(w)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([w[1], w[0], *w[2:]]))]
+    got = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 120, 2))
+
+
 # 7 sharding
 
 
