@@ -207,21 +207,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, blocks: int
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Least shingle hashes kept of a text for its similarity, 32 bits each: a text with so many or fewer is compared exactly.
-SKETCH = 256
-
-
-def sketch(parts: list[bytes], words: int) -> np.ndarray:
-    """The SKETCH least distinct 32-bit hashes of the shingles, sorted."""
-    return np.unique((_shingles(parts, words) >> np.uint64(32)).astype(np.uint32))[:SKETCH] if parts else np.empty(0, np.uint32)
-
-
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: the shared part of the SKETCH least of their union."""
-    union = np.union1d(a, b)[:SKETCH]
-    if not len(union):
-        return 1.0
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets given as arrays of distinct values; 1 for two empty ones."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
 #: The order of shingles puts those that a sample of so many texts holds HOT_DF times or more last, up to HOT of them. Any order finds the same pairs.
@@ -340,8 +329,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     Texts link when they are the same words, or when their sets of `words`-word
     shingles have a Jaccard similarity of `similarity` or more. Every such pair
     shares one of the first shingles of both in a common order; what meets there
-    is decided by their sketches (exact up to
-    SKETCH shingles, estimated from the SKETCH least hashes beyond). Neighbours by size come first, then all pairs that these
+    is decided on the whole sets. Neighbours by size come first, then all pairs that these
     have not put in one group. A group is what links reach. Null and blank texts
     are one group. Repeated rows of an id are one document and stay together;
     rows with a null id always stay. Columns of any name pass through; an empty
@@ -371,13 +359,13 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     def whole(texts):
         import pandas as pd
 
-        return pd.DataFrame([(digest(p), sketch(p, words).astype(np.int64)) for p in map(_words, texts)], columns=["key", "held"])
+        return pd.DataFrame([(digest(p), every(p).view(np.int64)) for p in map(_words, texts)], columns=["key", "held"])
 
     @F.pandas_udf("boolean")
     def alike(a, b):
         import pandas as pd
 
-        return pd.Series([resemblance(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
 
     rows = written(texts.select("id", measure(F.col("_text")).alias("m")).select("id", "m.*"))
     items = rows.groupBy("key").agg(F.min("id").alias("least_id"))

@@ -310,6 +310,18 @@ def test_partners_among_many_alike_in_words(spark):
     assert got == set(range(0, 120, 2))
 
 
+@pytest.mark.parametrize("block", [True, False])
+def test_long_pairs_are_decided_exactly(spark, block):
+    """Texts of many shingles with similarities on both sides of the threshold."""
+    rng = random.Random(64)
+    pairs = [near_pair(rng, 900, rng.randint(190, 250) if block else rng.randint(17, 27), block) for _ in range(60)]
+    near = {2 * k for k, (a, b) in enumerate(pairs) if len(shingle_set(a) & shingle_set(b)) >= 0.8 * len(shingle_set(a) | shingle_set(b))}
+    rows = [(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    got = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 10 < len(near) < 50 and got == {i for i, _ in rows} - {k + 1 for k in near}
+
+
+
 # 7 sharding
 
 
