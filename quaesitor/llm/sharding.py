@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -22,7 +22,9 @@ def extendible_shards(docs: DataFrame, byte_limit: int, id_col: str = "doc_id",
     A bucket is a hash prefix of `depth` bits; the first prefix of a row whose
     bucket holds at most `byte_limit` bytes of UTF-8 text, or that row alone, is
     its shard. So only oversized buckets split, and a text over the limit ends
-    in a shard of its own. The bits come from md5 of the id (null: empty text),
+    in a shard of its own. Rows of a bucket that is too large with all bits are
+    packed into numbered parts of it: a text over half of the limit is a part,
+    the others are cut by their running sum. The bits come from md5 of the id (null: empty text),
     then from the row's number, which parts repeated ids. Null texts have no
     bytes. An empty table gives no rows; other columns are not read.
     """
@@ -44,12 +46,26 @@ def extendible_shards(docs: DataFrame, byte_limit: int, id_col: str = "doc_id",
         first = written(first.select("cell", "at.*"))
         here = todo.withColumn("cell", fine)
         now = here.join(first, "cell").select("doc_id", "n_bytes", "depth", "prefix", "shard_bytes")
+        now = now.withColumn("part", F.lit(None).cast("string"))
         placed = now if placed is None else placed.union(now)
-        if deepest == BITS or first.count() == cells.count():
+        if deepest == BITS:
+            placed = placed.union(_packed(here.join(first, "cell", "left_anti"), byte_limit))
+            break
+        if first.count() == cells.count():
             break
         todo = written(here.join(first, "cell", "left_anti").drop("cell"))
         above, deepest = deepest, min(BITS, deepest + SLACK)
-    return placed.withColumn("shard", F.expr("concat(depth, ':', CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END)")).select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
+    return placed.withColumn("shard", F.expr("concat(depth, ':', CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END, coalesce(concat(':', part), ''))")).select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
+
+
+def _packed(rows: DataFrame, byte_limit: int) -> DataFrame:
+    """Parts of full buckets: rows over half of the limit alone, the others by which half limit of their sum they begin in."""
+    order = Window.partitionBy("h").orderBy("doc_id", "n_bytes")
+    big = 2 * F.col("n_bytes") > byte_limit
+    rows = rows.withColumn("part", F.row_number().over(order)).withColumn("_sum", F.sum(F.when(big, 0).otherwise(F.col("n_bytes"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    part = F.when(big, F.concat(F.lit("r"), "part")).otherwise(F.concat(F.lit("p"), F.floor(2 * (F.col("_sum") - F.col("n_bytes")) / byte_limit).cast("string")))
+    rows = rows.withColumn("part", part).withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("h", "part")))
+    return rows.select("doc_id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", "part")
 
 
 def oracle(byte_limit: int) -> str:

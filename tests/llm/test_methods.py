@@ -334,6 +334,16 @@ def test_shards_equal_sql(spark, sf):
     assert got == want and len({r[4] for r in got}) > 10
 
 
+def test_rows_of_one_id_are_all_placed(spark):
+    """More rows of one id than the row bits tell apart, each as large as the limit or a few bytes."""
+    for size, limit in ((10, 10), (3, 5)):
+        out = sharding.extendible_shards(spark.createDataFrame([(7, "x" * size)] * 5000, "doc_id long, text string"), limit).collect()
+        held = {}
+        for r in out:
+            held.setdefault((r.shard, r.shard_bytes), []).append(r.n_bytes)
+        assert len(out) == 5000 and all(sum(v) == b <= limit for (_, b), v in held.items()) and len(held) == len({s for s, _ in held})
+
+
 # 8 embeddings
 
 
