@@ -225,7 +225,7 @@ def unit_clusters(spark, sf_dir):
     f = spark.sql("SELECT text_unit_id, layer, count(*) AS n FROM nk GROUP BY text_unit_id, layer")
     layers = ["lexical", "morpho_syntactic", "rhetorical", "word_formation"]
     wide = stats.pivot(f, "text_unit_id", "layer", layers).select("text_unit_id", *[F.log1p(F.col(c)).alias(c) for c in layers])
-    return stats.clusters(wide, layers, range(3, 6))[0]
+    return stats.clusters(wide, layers)[0]
 
 
 def cluster_profile(spark, sf_dir):
