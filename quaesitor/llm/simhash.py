@@ -280,12 +280,26 @@ def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(h))
 
 
-def meetings(prefixes: DataFrame) -> DataFrame:
-    """The rows (h, n, iid, pos) of `prefixes` whose shingle h another text has too."""
+def _possible(n: np.ndarray, pos: np.ndarray, at: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of n values, sharing the ones at pos first, can have the similarity."""
+    least = similarity / (1 + similarity) * (n[at].astype(np.int64) + n[to]) - 1e-6
+    return np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least
+
+
+def meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The rows (h, n, iid, pos) of `prefixes` that share the shingle h with a text that can be near."""
 
     def work(columns):
-        first, end = _bounds(columns[0])
-        shared = np.repeat(end - first > 1, end - first)
+        h, n, _, pos = columns
+        first, end = _bounds(h)
+        stop = np.repeat(end, end - first)
+        shared = np.zeros(len(h), bool)
+        at, d = np.arange(len(h)), 1
+        while len(at := at[at + d < stop[at]]):
+            at = at[n[at] >= similarity * n[at + d] - 1e-6]
+            near = _possible(n, pos, at, at + d, similarity)
+            shared[at[near]] = shared[at[near] + d] = True
+            d += 1
         return pa.RecordBatch.from_arrays([pa.array(v[shared]) for v in columns], names=["h", "n", "iid", "pos"])
 
     return _runs(prefixes.repartition("h").sortWithinPartitions("h", "n", "iid"), "h long, n int, iid long, pos int", work)
@@ -308,8 +322,7 @@ def met_pairs(met: DataFrame, similarity: float, adjacent: bool) -> DataFrame:
         while len(at := at[at + d < stop[at]]):
             at = at[n[at] >= similarity * n[at + d] - 1e-6]  # sorted by size: farther ones are larger still
             to = at + d
-            least = similarity / (1 + similarity) * (n[at].astype(np.int64) + n[to]) - 1e-6
-            near = (root[at] != root[to]) & (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least)
+            near = (root[at] != root[to]) & _possible(n, pos, at, to, similarity)
             a.append(ids[at[near]])
             b.append(ids[to[near]])
             d += 1
@@ -355,11 +368,11 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
             out.append((digest(parts), len(s), prefix(s, similarity, known, order).view(np.int64)))
         return pd.DataFrame(out, columns=["key", "n", "first"])
 
-    @F.pandas_udf("key string, held array<long>")
-    def whole(texts):
+    @F.pandas_udf("array<long>")
+    def whole(texts, keys):
         import pandas as pd
 
-        return pd.DataFrame([(digest(p), every(p).view(np.int64)) for p in map(_words, texts)], columns=["key", "held"])
+        return pd.Series([every(p).view(np.int64) if digest(p) == k else None for p, k in zip(map(_words, texts), keys)], dtype=object)
 
     @F.pandas_udf("boolean")
     def alike(a, b):
@@ -371,10 +384,10 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     items = rows.groupBy("key").agg(F.min("id").alias("least_id"))
     items = written(items.orderBy("least_id", "key").withColumn("iid", F.monotonically_increasing_id()))  # ids in this order, so that runs agree
     one = items.join(rows.withColumnRenamed("id", "least_id"), ["least_id", "key"]).dropDuplicates(["iid"])
-    met = written(meetings(one.select(F.posexplode("first").alias("pos", "h"), "n", "iid").select("h", "n", "iid", "pos")))
+    met = written(meetings(one.select(F.posexplode("first").alias("pos", "h"), "n", "iid").select("h", "n", "iid", "pos"), similarity))
     ids = met.select("iid").distinct().join(items, "iid").select(F.col("least_id").alias("id"), F.col("key").alias("_key"), "iid")
-    sets = texts.join(ids, "id").select("iid", "_key", whole(F.col("_text")).alias("m")).filter("m.key = _key")
-    sets = written(sets.select("iid", "m.held").dropDuplicates(["iid"]))
+    sets = texts.join(ids, "id").select("iid", whole(F.col("_text"), F.col("_key")).alias("held")).filter("held IS NOT NULL")
+    sets = written(sets.dropDuplicates(["iid"]))
     side = lambda c: sets.select(F.col("iid").alias(c), F.col("held").alias(f"s{c}"))
     linked = lambda pairs: written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("sa", "sb")).select("a", "b"))
 
