@@ -85,6 +85,22 @@ def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame
     return docs.select(*keep, "text").mapInArrow(run, f"{types}, ids array<int>, n array<int>")
 
 
+def frequencies(counted: DataFrame, size: int) -> np.ndarray:
+    """In how many rows each of `size` terms occurs: counted in each task, summed over the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(n[held], pa.int64())], names=["t", "n"])
+
+    out = np.zeros(size)
+    for r in counted.select("ids").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        out[r.t] = r.n
+    return out
+
+
 def weigh(ids: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = (1 + np.log(n)) * idf[ids]
     return w / np.linalg.norm(w) if len(w) else w
@@ -201,9 +217,7 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     terms = choose_terms(rows)
     counted = written(term_counts(base, terms, ["doc_id", "held_out"]))
     total = counted.count()
-    df = np.zeros(len(terms))
-    for r in counted.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
-        df[r.t] = r.n
+    df = frequencies(counted, len(terms))
     idf = np.log((1 + total) / (1 + df)) + 1
     known = [(r.doc_id, r.toxic, r.ids, r.n) for r in term_counts(rows, terms, ["doc_id", "toxic"]).collect()]
     index = Index.build(known, idf)
