@@ -39,6 +39,12 @@ class Leaf:
     linked: int
 
 
+@functools.cache
+def closing(tag: str) -> re.Pattern:
+    """Where a hidden element of this tag ends, in ASCII letters of any case."""
+    return re.compile(f"</{tag}", re.ASCII | re.IGNORECASE)
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """The leaf blocks of a page in its order, white space made single, references decoded; blank ones are left out."""
     out: list[Leaf] = []
@@ -47,7 +53,6 @@ def leaves(page: str | None) -> list[Leaf]:
     linked = 0
     anchors = 0
     page = page or ""
-    lower = None
     at = 0
 
     def close():
@@ -84,9 +89,8 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if tag in HIDDEN:
             if not m[3].endswith("/") or tag in ("script", "style", "title"):
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                end = len(page) if end < 0 else page.find(">", end) + 1
+                shut = closing(tag).search(page, at)
+                end = page.find(">", shut.start()) + 1 if shut else len(page)
                 at = end if end > 0 else len(page)
             continue
         if tag == "br":

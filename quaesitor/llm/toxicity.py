@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import small_batches, uniform, written
 
 #: Labelled rows that the examples are drawn from: about so many, by a hash of the id, or all if there are fewer.
 EXAMPLES = 8192
-#: Terms kept, of those with this chi-square against the label and in so many examples at least.
-TERMS, CHI_SQUARE, LEAST_ROWS = 4096, 25.0, 4
+#: Terms kept: all with this chi-square against the label and in so many examples at least. Over the whole
+#: vocabulary the nearest examples are those of the same subject, not of the same tone (figures in the README).
+CHI_SQUARE, LEAST_ROWS = 25.0, 4
 NEIGHBOURS, BLOCK, NEAR = 15, 64, 0.05
 #: Weight against in each vote: far neighbours alone decide nothing.
 REST = 5.0
@@ -65,7 +67,7 @@ def choose_terms(examples: DataFrame) -> list[str]:
     n, b, all_n, all_b = F.col("n"), F.col("b"), F.lit(float(total)), F.lit(float(bad))
     gap = b * (all_n - all_b - (n - b)) - (n - b) * (all_b - b)
     by = by.filter((n >= LEAST_ROWS) & (n < all_n)).withColumn("x", all_n * gap * gap / (n * (all_n - n) * all_b * (all_n - all_b)))
-    return [r.term for r in by.filter(F.col("x") >= CHI_SQUARE).orderBy(F.desc("x"), "term").limit(TERMS).collect()]
+    return [r.term for r in by.filter(F.col("x") >= CHI_SQUARE).orderBy(F.desc("x"), "term").collect()]  # at most the vocabulary of the examples
 
 
 def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
@@ -245,13 +247,14 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, examples:
     the three nearest: (doc_id, cosine, toxic). Texts without a term that goes
     with the label, empty and null ones too, get the rate of such examples.
     Repeated rows stay repeated; a null id is not held out; of several labels of
-    an id the greatest counts. Without labels of both kinds all scores are the
+    an id the greatest counts; a null label is no label. Without labels of both kinds all scores are the
     base rate. Other columns, whatever their names, are not read. An empty table
     gives no rows.
     """
     spark = docs.sparkSession
     model, counted = fit_and_count(docs.select("doc_id", "text"), labels, examples)
-    shared = spark.sparkContext.broadcast(model)  # at most EXAMPLES sparse rows over TERMS terms
+    shared = spark.sparkContext.broadcast(model)  # at most EXAMPLES sparse rows over the terms of those rows
+    name_type = to_arrow_schema(labels.select("doc_id").schema).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -269,16 +272,21 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, examples:
                 s, e = cache[key]
                 score.append(s)
                 evidence.append(e)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+            kind = pa.list_(pa.struct([("doc_id", name_type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
-    kind = dict(counted.dtypes)["doc_id"]
-    out = counted.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    kind, name = dict(counted.dtypes)["doc_id"], dict(labels.dtypes)["doc_id"]
+    out = counted.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<doc_id:{name},cosine:double,toxic:int>>")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose score is under `threshold`, with their columns; texts are read again and never shuffled."""
+    """The rows of `docs` whose score is under `threshold`, with their columns; texts are read again and never shuffled.
+
+    Null and empty texts, ties, repeated rows and labels are treated as by
+    `scores`; rows with a null id are judged like others. Columns of any name
+    pass through; an empty table gives an empty table.
+    """
     model, _ = fit_and_count(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, examples)
     shared = docs.sparkSession.sparkContext.broadcast((model, {t: k for k, t in enumerate(model.terms)}))  # bounded like the examples
 

@@ -73,10 +73,18 @@ def test_html(spark):
     assert html.extract(pages).count() == 6 and html.extract(pages.filter("false")).count() == 0
 
 
+def test_html_after_letters_that_grow_in_lower_case(spark):
+    body = "İ" * 12 + "</p><SCRIPT>var a = '<p>no</p>';</ſcript></Script><p>The second paragraph stays whole.</p>"
+    pages = spark.createDataFrame([(1, "u", f"<article><p>The first paragraph. {body}</article>")], "page_id long, url string, html string")
+    assert html.extract(pages).first().text == "The first paragraph. " + "İ" * 12 + "\nThe second paragraph stays whole."
+
+
 def test_toxicity(messy, none, labels):
     out = toxicity.scores(messy, labels).collect()
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     assert toxicity.scores(none, labels).count() == 0 and toxicity.scores(messy, labels.filter("false")).count() == len(ROWS)
+    named = [df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))) for df in (messy, labels)]
+    assert {type(e.doc_id) for r in toxicity.scores(*named).collect() for e in r.evidence} <= {str}
     assert toxicity.accepted(messy, labels).columns == messy.columns and toxicity.accepted(none, labels).count() == 0
 
 
