@@ -3,80 +3,130 @@
 from __future__ import annotations
 
 import json
+import logging
+import re
+from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import rules
 
 SIGNAL = ["signal_id", "text_unit_id", "layer", "category", "subcategory", "surface_form", "span_start", "span_end", "rule_id", "rule_version", "weight", "status", "lemma", "pos", "polarity"]
+MATCH = "span_start int, surface_form string, rule_id string, layer string, category string, subcategory string, weight double, status string, lemma string, pos string, polarity string"
 QA_RULE = "morph.syn.question_answer"
 SENTENCE = r"[^.!?]+[.!?]*"
 
 
-def with_tokens(units: DataFrame) -> DataFrame:
-    """Units with pieces (tokens and the white space before), raw and low (lower-case) tokens; one pass for all layers."""
-    cut = units.select("text_unit_id", "text").withColumn("pieces", T.pieces(F.col("text"))).withColumn("raw", T.bare(F.col("pieces")))
-    return cut.withColumn("low", F.transform("raw", lambda x: F.lower(x)))
+#: Tokens between two stored offsets: a place costs at most so many pieces to reach.
+STRIDE = 32
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for the row however often body reads it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def _cut(text: Column) -> Column:
+    """struct<p, upto>: the pieces of a text, and the characters before each STRIDE-th of them."""
+
+    def with_sums(p: Column) -> Column:
+        blocks = F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STRIDE).cast("int")), lambda k: F.length(F.array_join(F.slice(p, k * STRIDE + 1, F.lit(STRIDE)), ""))))
+        upto = F.aggregate(F.coalesce(blocks, F.array().cast("array<int>")), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, F.lit(-1)) + n))
+        return F.struct(p.alias("p"), upto.alias("upto"))
+
+    return _let(T.pieces(text), with_sums)
+
+
+def _bare(piece: Column) -> Column:
+    return F.regexp_replace(piece, f"^{T.WHITE}+", "")
+
+
+def _start(cut: Column, i: Column, piece: Column) -> Column:
+    """The character at which the token of piece i (from 0) begins."""
+    block = F.floor(i / STRIDE).cast("int")
+    before = cut["upto"][block] + F.length(F.array_join(F.slice(cut["p"], block * STRIDE + 1, i - block * STRIDE), ""))
+    return (before + F.length(piece) - F.length(_bare(piece))).cast("int")
 
 
 def token_table(units: DataFrame) -> DataFrame:
     """One row per token: text_unit_id, pos (from 0), token, lower, span_start, span_end.
 
-    Offsets are running sums of the pieces' lengths, so a long text costs no more than its tokens.
+    Offsets are running sums of the pieces' lengths within the row: no shuffle,
+    and a long text costs little more than its tokens.
     """
-    t = with_tokens(units).select("text_unit_id", F.posexplode("pieces").alias("pos", "piece"))
-    upto = Window.partitionBy("text_unit_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"span_end": F.sum(F.length("piece")).over(upto).cast("int"), "token": F.regexp_replace("piece", f"^{T.WHITE}+", "")})
-    return t.withColumns({"span_start": (F.col("span_end") - F.length("token")).cast("int"), "lower": F.lower("token")}).select("text_unit_id", "pos", "token", "lower", "span_start", "span_end")
+    token = lambda cut: F.transform(cut["p"], lambda p, i: F.struct(i.alias("pos"), _bare(p).alias("token"), _start(cut, i, p).alias("span_start")))
+    t = units.select("text_unit_id", F.explode(_let(_cut(F.col("text")), token)).alias("t")).select("text_unit_id", "t.*")
+    return t.select("text_unit_id", "pos", "token", F.lower("token").alias("lower"), "span_start", (F.col("span_start") + F.length("token")).cast("int").alias("span_end"))
 
 
-def _span(at: Column, n: Column) -> tuple[Column, Column]:
-    """Character offsets of the n tokens from place `at` (from 0)."""
-    before = F.length(F.array_join(F.slice("pieces", F.lit(1), at), ""))
-    blank = F.length(F.element_at("pieces", at + 1)) - F.length(F.element_at("raw", at + 1))
-    return (before + blank).cast("int"), F.length(F.array_join(F.slice("pieces", F.lit(1), at + n), "")).cast("int")
+def bigrams(units: DataFrame) -> DataFrame:
+    """One row per pair of neighbouring tokens: text_unit_id, first, second (lower case); no shuffle."""
+    pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.struct(F.lower(_bare(a)).alias("first"), F.lower(_bare(b)).alias("second")))
+    return units.select("text_unit_id", F.explode(_let(T.pieces(F.col("text")), pairs)).alias("b")).select("text_unit_id", "b.*")
 
 
 def alternative_table(spark: SparkSession, version: str) -> DataFrame:
-    """The compiled rules: a row per alternative and first word. The rule set bounds it: a few thousand rows."""
-    rows = [(a.rule_id, a.layer, a.category, a.subcategory, a.weight, a.status, a.lemma, a.pos, a.polarity, len(a.slots), [list(s) for s in a.slots], list(a.before_in), list(a.before_not), a.word_after, a.cased) for a in rules.alternatives(version)]
-    schema = "rule_id string, layer string, category string, subcategory string, weight double, status string, lemma string, pos string, polarity string, n int, slots array<array<string>>, before_in array<string>, before_not array<string>, word_after boolean, cased boolean"
-    return spark.createDataFrame(rows, schema).withColumn("key", F.explode(F.col("slots")[0]))
+    """The compiled rules by first word: (key, alts), each word's alternatives by rule, the shortest first. The rule set bounds it: a few hundred rows."""
+    rows = [(k, a.rule_id, a.layer, a.category, a.subcategory, a.weight, a.status, a.lemma, a.pos, a.polarity, len(a.slots), [list(s) for s in a.slots], list(a.before_in), list(a.before_not), a.word_after, a.cased) for k, a in enumerate(rules.alternatives(version))]
+    schema = "k int, rule_id string, layer string, category string, subcategory string, weight double, status string, lemma string, pos string, polarity string, n int, slots array<array<string>>, before_in array<string>, before_not array<string>, word_after boolean, cased boolean"
+    alt = F.struct("rule_id", "n", "k", *[c for c in ("layer", "category", "subcategory", "weight", "status", "lemma", "pos", "polarity", "slots", "before_in", "before_not", "word_after", "cased")])
+    return spark.createDataFrame(rows, schema).select(F.explode(F.col("slots")[0]).alias("key"), alt.alias("alt")).groupBy("key").agg(F.array_sort(F.collect_list("alt")).alias("alts"))
+
+
+def _hits(alts: Column, window: Column, before: Column) -> Column:
+    """The alternatives that fit a window of pieces; of one rule the shortest."""
+
+    def fits(low: Column) -> Column:
+        def ok(a: Column) -> Column:
+            slot = lambda words, k: F.when(k + 1 > F.size(low), False).when(F.size(words) == 0, low[k].rlike(r"^\p{L}")).otherwise(F.array_contains(words, low[k]))
+            raw = _bare(window[0])
+            return (
+                ((F.size(a["before_in"]) == 0) | F.array_contains(a["before_in"], before))
+                & ~F.array_contains(a["before_not"], before)
+                & (~a["cased"] | (raw == F.upper(raw)))
+                & F.forall(F.transform(a["slots"], slot), lambda x: x)
+                & (~a["word_after"] | F.coalesce(F.get(low, a["n"]).rlike(r"^\p{L}"), F.lit(False)))
+            )
+
+        return F.filter(alts, ok)
+
+    found = _let(F.transform(window, lambda p: F.lower(_bare(p))), fits)
+    return _let(found, lambda f: F.filter(f, lambda h, i: (i == 0) | (F.get(f, i - 1)["rule_id"] != h["rule_id"])))
 
 
 def rule_signals(units: DataFrame, version: str = "0.2") -> DataFrame:
     """Matches of the lexical, token and figure rules: all windows, one per rule and start (the shortest).
 
-    The first word of a window finds the alternatives by an equi-join with the
-    broadcast rule set; the rest is checked on the row's own token array, so no
-    token is shuffled.
+    Within its row a text gives a small window for each token that begins some
+    alternative; the window meets the broadcast rule set by its first word and is
+    checked by itself. Nothing is shuffled, and no window carries the text.
     """
-    t = with_tokens(units)
-    at = t.select("*", F.posexplode("low").alias("at", "key")).join(F.broadcast(alternative_table(units.sparkSession, version)), "key")
-    fits = F.expr(r"n = 1 OR forall(sequence(2, greatest(n, 2)), k -> CASE WHEN at + k > size(low) THEN false WHEN size(slots[k - 1]) = 0 THEN low[at + k - 1] rlike '^\\p{L}' ELSE array_contains(slots[k - 1], low[at + k - 1]) END)")
-    before = F.expr("CASE WHEN at = 0 THEN '' ELSE low[at - 1] END")
-    context = (
-        ((F.size("before_in") == 0) | F.array_contains("before_in", before))
-        & ~F.array_contains("before_not", before)
-        & (~F.col("word_after") | F.expr(r"at + n < size(low) AND low[at + n] rlike '^\\p{L}'"))
-        & (~F.col("cased") | (F.col("raw")[F.col("at")] == F.upper(F.col("raw")[F.col("at")])))
-    )
-    start, end = _span(F.col("at"), F.col("n"))
-    met = at.filter(fits & context).withColumns({"span_start": start, "span_end": end})
-    one = met.groupBy("text_unit_id", "rule_id", "span_start").agg(F.min("span_end").alias("span_end"), *[F.min(c).alias(c) for c in ("layer", "category", "subcategory", "weight", "status", "lemma", "pos", "polarity")], F.first("text").alias("text"))
-    return _signals(one, version)
+    alternatives = rules.alternatives(version)
+    firsts = sorted({w for a in alternatives for w in a.slots[0]})
+    wide = max((len(a.slots) for a in alternatives), default=0) + 1
+    if not firsts:
+        return _signals(units.sparkSession.createDataFrame([], f"text_unit_id string, {MATCH}"), version)
+
+    def windows(cut: Column) -> Column:
+        at = lambda p, i: F.when(F.lower(_bare(p)).isin(*firsts), F.struct(_start(cut, i, p).alias("span_start"), F.slice(cut["p"], i + 1, F.lit(wide)).alias("window"), F.when(i == 0, "").otherwise(F.lower(_bare(F.get(cut["p"], i - 1)))).alias("before")))
+        return F.filter(F.transform(cut["p"], at), lambda w: w.isNotNull())
+
+    t = units.select("text_unit_id", F.explode(_let(_cut(F.col("text")), windows)).alias("w")).select("text_unit_id", "w.*").withColumn("key", F.lower(_bare(F.col("window")[0])))
+    t = t.join(F.broadcast(alternative_table(units.sparkSession, version)), "key").select("text_unit_id", "span_start", "window", F.explode(_hits(F.col("alts"), F.col("window"), F.col("before"))).alias("h"))
+    surface = F.concat(_bare(F.col("window")[0]), F.array_join(F.slice("window", F.lit(2), F.col("h.n") - 1), ""))
+    return _signals(t.select("text_unit_id", "span_start", surface.alias("surface_form"), "h.rule_id", "h.layer", "h.category", "h.subcategory", "h.weight", "h.status", "h.lemma", "h.pos", "h.polarity"), version)
 
 
 def _signals(df: DataFrame, version: str) -> DataFrame:
-    """Adds the id, the surface and the version, and orders the columns."""
+    """Adds the id, the end and the version to matches with their surface, and orders the columns."""
     return df.withColumns(
         {
             "signal_id": signal_id(F.col("text_unit_id"), F.col("rule_id"), F.col("span_start")),
-            "surface_form": F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")),
+            "span_end": (F.col("span_start") + F.length("surface_form")).cast("int"),
             "rule_version": F.lit(version),
         }
     ).select(*SIGNAL)
@@ -103,23 +153,27 @@ def affix_hit(a: rules.Affix, word: Column) -> Column:
 
 
 def affix_signals(units: DataFrame, version: str = "0.2") -> DataFrame:
-    """Signals of the affix rules over word tokens; the specs fold to one array expression per token."""
-    t = with_tokens(units).select("text_unit_id", "text", "pieces", "raw", F.posexplode("low").alias("at", "word"))
+    """Signals of the affix rules over word tokens; only tokens with some rule's affix leave their row."""
     specs = rules.affixes(version)
+    if not specs:
+        return _signals(units.sparkSession.createDataFrame([], f"text_unit_id string, {MATCH}"), version)
+    ends = {kind: "|".join(sorted({re.escape(a.affix) for a in specs if a.kind == kind})) or "(?!)" for kind in ("prefix", "suffix")}
+    shape = rf"^(?:(?:{ends['prefix']})\p{{L}}*|\p{{L}}*(?:{ends['suffix']}))$"
+    found = lambda cut: F.filter(F.transform(cut["p"], lambda p, i: F.when(F.lower(_bare(p)).rlike(shape), F.struct(_bare(p).alias("surface_form"), _start(cut, i, p).alias("span_start")))), lambda w: w.isNotNull())
+    t = units.select("text_unit_id", F.explode(_let(_cut(F.col("text")), found)).alias("w")).select("text_unit_id", "w.*").withColumn("word", F.lower("surface_form"))
     hit = F.array(*[F.when(affix_hit(a, F.col("word")), F.lit(k)) for k, a in enumerate(specs)])
     t = t.filter(F.col("word").rlike(r"^\p{L}+$")).withColumn("spec", F.explode(F.filter(hit, lambda x: x.isNotNull())))
     of = lambda name, kind: F.element_at(F.array(*[F.lit(getattr(a, name)).cast(kind) for a in specs]), F.col("spec") + 1)
-    start, end = _span(F.col("at"), F.lit(1))
-    cols = {"layer": F.lit("word_formation"), "category": of("category", "string"), "subcategory": of("subcategory", "string"), "rule_id": of("rule_id", "string"), "weight": of("weight", "double"), "status": of("status", "string"), "lemma": F.col("word"), "pos": F.lit(None).cast("string"), "polarity": of("polarity", "string"), "span_start": start, "span_end": end}
+    cols = {"layer": F.lit("word_formation"), "category": of("category", "string"), "subcategory": of("subcategory", "string"), "rule_id": of("rule_id", "string"), "weight": of("weight", "double"), "status": of("status", "string"), "lemma": F.col("word"), "pos": F.lit(None).cast("string"), "polarity": of("polarity", "string")}
     return _signals(t.withColumns(cols), version)
 
 
 def question_answer_signals(units: DataFrame, version: str = "0.2") -> DataFrame:
     """One signal for a unit with a sentence that asks and a sentence that does not."""
     s = F.filter(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: T.strip_ends(x) != "")
-    ok = F.exists(s, lambda x: x.contains("?")) & F.exists(s, lambda x: ~x.contains("?"))
+    ok = _let(s, lambda s: F.exists(s, lambda x: x.contains("?")) & F.exists(s, lambda x: ~x.contains("?")))
     none = F.lit(None).cast("string")
-    cols = {"layer": F.lit("morpho_syntactic"), "category": F.lit("syntactic_pattern"), "subcategory": F.lit("question_answer"), "rule_id": F.lit(QA_RULE), "weight": F.lit(0.5), "status": F.lit("active"), "lemma": none, "pos": none, "polarity": none, "span_start": F.lit(0), "span_end": F.length("text").cast("int")}
+    cols = {"layer": F.lit("morpho_syntactic"), "category": F.lit("syntactic_pattern"), "subcategory": F.lit("question_answer"), "rule_id": F.lit(QA_RULE), "weight": F.lit(0.5), "status": F.lit("active"), "lemma": none, "pos": none, "polarity": none, "span_start": F.lit(0), "surface_form": F.col("text")}
     return _signals(units.select("text_unit_id", "text").filter(ok).withColumns(cols), version)
 
 
@@ -133,8 +187,16 @@ LAYERS: dict[str, Annotator] = {"rules": rule_signals, "affixes": affix_signals,
 
 
 def signals(units: DataFrame, version: str = "0.2", layers: dict[str, Annotator] | None = None) -> DataFrame:
-    """The union of all layers' signals."""
-    return reduce(DataFrame.unionByName, [f(units, version) for f in (layers or LAYERS).values()])
+    """The union of all layers' signals. A layer that can't be planned is logged and left out; the others stay."""
+    planned = []
+    for name, layer in (layers or LAYERS).items():
+        try:
+            planned.append(layer(units, version).select(*SIGNAL))
+        except Exception:  # noqa: BLE001  whatever a plugged-in layer raises
+            logging.getLogger(__name__).exception("layer %s left out", name)
+    if not planned:
+        return _signals(units.sparkSession.createDataFrame([], f"text_unit_id string, {MATCH}"), version)
+    return reduce(DataFrame.unionByName, planned)
 
 
 class Classifier(Protocol):

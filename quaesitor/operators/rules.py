@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from . import rulesets
@@ -127,27 +129,41 @@ def _windows(rule_id: str) -> list[tuple[tuple[tuple[str, ...], ...], dict]]:
     return [(flat(m), {"word_after": True} if rule_id.endswith("shield_think") else {}) for m in made]
 
 
+def _read(kind: str, version: str, make: Callable[..., list]) -> list:
+    """make(*row) over the rows of a part; a row that cannot be read is logged and left out, the others stay."""
+    out = []
+    for row in rulesets.table(kind, version):
+        try:
+            out += make(*row)
+        except (ValueError, TypeError, KeyError, IndexError, AttributeError) as e:
+            logging.getLogger(__name__).warning("%s rule %r of version %s left out: %s", kind, row[:1], version, e)
+    return out
+
+
+def _lexical(rule_id, lemma, pos, category, sub, polarity, weight, status) -> list[Alternative]:
+    base = Alternative(rule_id if rule_id.startswith("lex.") else f"lex.{rule_id}", "lexical", category, sub, _number(weight), status or "active", lemma, pos, polarity, _phrase(lemma), cased=lemma.isupper())
+    if rule_id.endswith("doubt_v"):
+        base = replace(base, before_in=tuple(VERB_BEFORE))
+    elif rule_id.endswith("doubt_n"):
+        base = replace(base, before_not=tuple(VERB_BEFORE))
+    elif pos == "VERB":
+        base = replace(base, before_not=tuple(DETERMINERS))
+    return [base]
+
+
+def _construction(rule_id, text, category, sub, weight, status) -> list[Alternative]:
+    made = _windows(rule_id) if text == "DEP" else _pattern(text)
+    return [Alternative(rule_id, "morpho_syntactic", category, sub, _number(weight), status or "active", None, None, None, slots, **context) for slots, context in made]
+
+
+def _figure(rule_id, family, subtype, texts, weight, status) -> list[Alternative]:
+    return [Alternative(rule_id, "rhetorical", family, subtype, _number(weight), status or "active", None, None, None, slots, **context) for text in texts.split(" ; ") for slots, context in _pattern(text)]
+
+
 @functools.cache
 def alternatives(version: str = "0.2") -> tuple[Alternative, ...]:
     """All alternatives of a version, in rule order. Rules that cannot be read are left out and the others stay."""
-    out: list[Alternative] = []
-    for rule_id, lemma, pos, category, sub, polarity, weight, status in rulesets.table("LEXICON", version):
-        base = Alternative(rule_id if rule_id.startswith("lex.") else f"lex.{rule_id}", "lexical", category, sub, _number(weight), status or "active", lemma, pos, polarity, _phrase(lemma), cased=lemma.isupper())
-        if rule_id.endswith("doubt_v"):
-            base = replace(base, before_in=tuple(VERB_BEFORE))
-        elif rule_id.endswith("doubt_n"):
-            base = replace(base, before_not=tuple(VERB_BEFORE))
-        elif pos == "VERB":
-            base = replace(base, before_not=tuple(DETERMINERS))
-        out.append(base)
-    for rule_id, text, category, sub, weight, status in rulesets.table("PATTERNS", version):
-        for slots, context in _windows(rule_id) if text == "DEP" else _pattern(text):
-            out.append(Alternative(rule_id, "morpho_syntactic", category, sub, _number(weight), status or "active", None, None, None, slots, **context))
-    for rule_id, family, subtype, texts, weight, status in rulesets.table("FIGURES", version):
-        for text in texts.split(" ; "):
-            for slots, context in _pattern(text):
-                out.append(Alternative(rule_id, "rhetorical", family, subtype, _number(weight), status or "active", None, None, None, slots, **context))
-    return tuple(out)
+    return tuple(_read("LEXICON", version, _lexical) + _read("PATTERNS", version, _construction) + _read("FIGURES", version, _figure))
 
 
 @dataclass(frozen=True)
@@ -166,12 +182,16 @@ class Affix:
     status: str
 
 
+def _affix(kind, affix, rule_id, category, sub, least, mode, polarity, allowed, blocked, weight, status) -> list[Affix]:
+    if kind not in ("prefix", "suffix"):
+        raise ValueError(f"no such kind of affix: {kind}")
+    return [Affix(kind, affix, rule_id, category, sub, int(least), mode == "allowlist_only", polarity, tuple((allowed or "").split()), tuple((blocked or "").split()), _number(weight), status or "active")]
+
+
 @functools.cache
 def affixes(version: str = "0.2") -> tuple[Affix, ...]:
-    return tuple(
-        Affix(kind, affix, rule_id, category, sub, int(least), mode == "allowlist_only", polarity, tuple((allowed or "").split()), tuple((blocked or "").split()), _number(weight), status or "active")
-        for kind, affix, rule_id, category, sub, least, mode, polarity, allowed, blocked, weight, status in rulesets.table("AFFIXES", version)
-    )
+    """All affix rules of a version, in order; those that cannot be read are left out."""
+    return tuple(_read("AFFIXES", version, _affix))
 
 
 def scoped_rules(version: str = "0.2") -> list[str]:

@@ -107,7 +107,6 @@ BODIES: dict[str, str] = {
     "f15_two_layers": "SELECT text_unit_id, count(DISTINCT layer) AS layers FROM nk GROUP BY text_unit_id HAVING count(DISTINCT layer) >= 2",
     "w05_first_writer": "WITH r AS (SELECT lemma, rule_version, pos, category, row_number() OVER (PARTITION BY lemma, rule_version ORDER BY rule_id, signal_id) AS n FROM signals WHERE layer = 'lexical') SELECT lemma, rule_version, pos, category FROM r WHERE n = 1",
     "w06_last_writer": "WITH r AS (SELECT rule_id, status, weight, row_number() OVER (PARTITION BY rule_id ORDER BY signal_id DESC) AS n FROM signals) SELECT rule_id, status, weight FROM r WHERE n = 1",
-    "w08_bigrams": "WITH b AS (SELECT lower AS first, lead(lower) OVER (PARTITION BY text_unit_id ORDER BY pos) AS second FROM tokens) SELECT first, second, count(*) AS n FROM b WHERE second IS NOT NULL GROUP BY first, second ORDER BY n DESC, first, second LIMIT 100",
     "o02_top_sources": "SELECT repo, count(*) AS n FROM text_units GROUP BY repo ORDER BY n DESC, repo LIMIT 25",
     "o03_hash_sample": "SELECT text_unit_id FROM text_units ORDER BY md5(text_unit_id), text_unit_id LIMIT 50",
     "u03_certainty_union": f"SELECT DISTINCT subcategory FROM (SELECT subcategory FROM signals WHERE layer = 'lexical' AND polarity = 'certainty' UNION ALL SELECT subcategory FROM signals WHERE layer = 'word_formation' AND polarity = 'certainty') t",

@@ -57,7 +57,7 @@ def views(spark: SparkSession, sf_dir: str) -> None:
     """Registers the base relations for the analysis queries."""
     u, s = _shared(spark, sf_dir, "text_units", text_units), _shared(spark, sf_dir, "signals", signals)
     m = mails(spark, sf_dir)
-    for name, df in {"text_units": u, "signals": s, "nk": s.filter(annotate.is_evidence()), "verdicts": fixture.verdicts(spark, sf_dir), "mails": m, "replies": replies(m), "refs": references(u), "tokens": annotate.token_table(u)}.items():
+    for name, df in {"text_units": u, "signals": s, "nk": s.filter(annotate.is_evidence()), "verdicts": fixture.verdicts(spark, sf_dir), "mails": m, "replies": replies(m), "refs": references(u)}.items():
         df.createOrReplaceTempView(name)
 
 

@@ -66,7 +66,7 @@ def language_sql():
     hits = ", ".join(f"len(list_filter({words}, lambda x: list_contains({duck.lst(ws)}, x))) AS h_{k}" for k, ws in STOP.items())
     best = f"greatest({', '.join('h_' + k for k in STOP)})"
     case = " ".join(f"WHEN h_{k} = {best} THEN '{k}'" for k in STOP)
-    return _base_docs() + f"SELECT doc_id, CASE WHEN length(t) < 10 OR {best} = 0 THEN NULL {case} END AS guess FROM (SELECT doc_id, t, {hits} FROM (SELECT doc_id, substring(body, 50, 400) AS t FROM docs) a) b"
+    return _base_docs() + f"SELECT doc_id, CASE WHEN length(t) < 10 OR {best} = 0 THEN NULL {case} END AS guess FROM (SELECT doc_id, t, {hits} FROM (SELECT doc_id, body AS t FROM docs) a) b"
 
 
 def bulk_lines(spark, sf_dir):
@@ -298,7 +298,8 @@ STEPS: dict[str, tuple[Query, Callable[[], str] | None]] = {
     "f04_parent_types": _where("parent_type IN ('email') OR parent_type IS NULL", lambda: F.col("parent_type").isin("email") | F.col("parent_type").isNull()),
     "f05_skip_bots": _where("author_login IS NULL OR NOT ends_with(author_login, '[bot]')", lambda: F.col("author_login").isNull() | ~F.col("author_login").endswith("[bot]")),
     "f19_prescreen": (lambda spark, sf_dir: _docs(spark, sf_dir).filter(eda.contains_any(F.col("body"), eda.PRESCREEN)).select("doc_id"), lambda: duck.base() + f"SELECT doc_id FROM docs WHERE {_any('body', eda.PRESCREEN)}"),
-    "a01_tokens": (lambda spark, sf_dir: annotate.token_table(_text_units(spark, sf_dir)), lambda: duck.base() + "SELECT text_unit_id, CAST(ix AS INTEGER) AS pos, raw[ix + 1] AS token, word AS lower, CAST(coalesce(length(array_to_string(pieces[1:ix], '')), 0) + length(pieces[ix + 1]) - length(raw[ix + 1]) AS INTEGER) AS span_start, CAST(length(array_to_string(pieces[1:ix + 1], '')) AS INTEGER) AS span_end FROM tok"),
+    "a01_tokens": (lambda spark, sf_dir: annotate.token_table(_text_units(spark, sf_dir)), lambda: duck.base() + "SELECT text_unit_id, CAST(ix AS INTEGER) AS pos, raw AS token, word AS lower, span_start, span_end FROM tok"),
+    "w08_bigrams": (lambda spark, sf_dir: annotate.bigrams(_text_units(spark, sf_dir)).groupBy("first", "second").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "first", "second").limit(100), lambda: duck.base() + "SELECT a.word AS first, b.word AS second, count(*) AS n FROM tok a JOIN tok b ON b.text_unit_id = a.text_unit_id AND b.ix = a.ix + 1 GROUP BY ALL ORDER BY n DESC, first, second LIMIT 100"),
     "a04_rule_windows": _layer(annotate.rule_signals, f"layer <> 'word_formation' AND rule_id <> '{annotate.QA_RULE}'"),
     "a05_scoped_windows": _layer(lambda u: annotate.rule_signals(u).filter(F.col("rule_id").isin(*rules.scoped_rules())), f"rule_id IN ({_scoped})"),
     "a07_question_answer": _layer(annotate.question_answer_signals, f"rule_id = '{annotate.QA_RULE}'"),
