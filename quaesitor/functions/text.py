@@ -93,3 +93,11 @@ def utf8_to_chars(text: Column, n: Column) -> Column:
     """Whole characters in the first n bytes of the UTF-8 form."""
     whole = F.length(F.substring(text.cast("binary"), F.lit(1), n).cast("string"))
     return F.when(F.octet_length(F.left(text, whole)) > n, whole - 1).otherwise(whole)
+
+
+def utf16_to_chars(text: Column, n: Column) -> Column:
+    """Whole characters in the first n code units of the UTF-16 form; a cut surrogate pair is left out."""
+    units = F.encode(text, "UTF-16LE")
+    cut = F.hex(F.substring(units, 2 * n, F.lit(1))).rlike("^D[89AB]") & (2 * n < F.octet_length(units))
+    whole = n - F.when(cut, 1).otherwise(0)
+    return F.length(F.decode(F.substring(units, F.lit(1), 2 * whole), "UTF-16LE"))

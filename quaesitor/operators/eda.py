@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import units
 
 #: Labels of machine-made segments, hints of automated senders, templated subjects, terms of the pre-screen.
@@ -29,7 +30,7 @@ def span_table(emails: DataFrame) -> DataFrame:
     """A row per segment: group, urn, i, label, begin, end, convention, kept label, valid."""
     s = units.with_segments(emails.select("urn", "group", "text_plain", "segments"))
     s = s.select("urn", "group", "convention", "text_plain", "segments", F.explode("spans").alias("s"))
-    return s.select("group", "urn", "convention", F.col("s.i").alias("i"), F.col("s.label").alias("label"), F.col("segments")[F.col("s.i")]["begin"].alias("begin"), F.length("text_plain").alias("n"), F.col("s.label").isin(*units.KEPT_LABELS).alias("is_kept"), F.col("s.span").isNotNull().alias("valid"))
+    return s.select("group", "urn", "convention", F.col("s.i").alias("i"), F.col("s.label").alias("label"), F.col("segments")[F.col("s.i")]["begin"].alias("begin"), F.col("segments")[F.col("s.i")]["end"].alias("end"), F.length("text_plain").alias("n"), units.limit_of(F.col("text_plain"), F.col("convention")).alias("limit"), F.col("s.label").isin(*units.KEPT_LABELS).alias("is_kept"), F.col("s.span").isNotNull().alias("valid"))
 
 
 def segment_profile(emails: DataFrame) -> DataFrame:
@@ -43,25 +44,57 @@ def segment_profile(emails: DataFrame) -> DataFrame:
     )
 
 
-def mail_profile(emails: DataFrame) -> DataFrame:
-    """Per group: automation, offset conventions, kept segments, yield and the pre-screen; yield uses the extraction itself."""
-    s = units.with_segments(emails.select("urn", "group", "text_plain", "segments", F.col("headers.from").alias("sender"), F.col("headers.subject").alias("subject")))
+def mail_profile(emails: DataFrame, sample_rate: int = 1, langs: tuple[str, ...] = ("en",), least_tokens: int = 2) -> DataFrame:
+    """Per group: automation, offset conventions, kept segments, yield and the pre-screen; yield uses the extraction itself.
+
+    With every `sample_rate`-th message read, scaled figures stand for all. A unit is
+    annotatable if its message has one of `langs` and no bot as its sender, and it has `least_tokens` words.
+    """
+    s = units.with_segments(emails.select("urn", "group", "text_plain", "segments", "lang", F.col("headers.from").alias("sender"), F.col("headers.subject").alias("subject")))
+    texts = F.filter(F.concat(F.array(T.strip_text(F.col("subject"))), F.transform("kept", lambda k: k["text"])), lambda t: F.length(t) > 0)
+    in_scope = F.coalesce("lang", F.lit("")).isin(*langs) & ~F.coalesce(F.trim("sender").endswith("[bot]"), F.lit(False))
+    long = F.when(in_scope, F.size(F.filter("_texts", lambda t: T.n_words(t) >= least_tokens))).otherwise(0)
+    s = s.withColumn("_texts", texts)
     n = F.count("*")
     return s.groupBy(F.col("group").alias("grp")).agg(
         pct(F.count_if(contains_any(F.col("sender"), BOT_HINTS)), n).alias("bot_from_pct"),
         pct(F.count_if(F.col("subject").rlike(TEMPLATED)), n).alias("templated_subject_pct"),
         pct(F.count_if(F.col("convention") == "utf8_bytes"), n).alias("utf8_bytes_doc_pct"),
-        F.round(F.sum(F.size("kept")) / n, 2).alias("kept_segments_per_msg"),
-        F.sum(F.size("kept") + F.when(F.length("subject") > 0, 1).otherwise(0)).alias("est_text_units"),
-        F.round(F.avg(F.length("text_plain")), 2).alias("mean_chars_per_msg"),
+        F.round(F.sum(F.size(F.filter("segments", lambda g: g["label"].isin(*units.KEPT_LABELS)))) / n, 2).alias("kept_segments_per_msg"),
+        F.sum(F.size("_texts")).alias("est_text_units"),
+        (sample_rate * F.sum(F.size("_texts"))).alias("est_text_units_scaled"),
+        (sample_rate * F.sum(long)).alias("est_annotatable_units_scaled"),
+        F.round(F.avg(F.length("text_plain")), 0).cast("long").alias("mean_chars_per_msg"),
         pct(F.count_if(contains_any(F.col("text_plain"), PRESCREEN)), n).alias("nk_prescreen_pct"),
     )
 
 
+def real(begin: Column, end: Column) -> Column:
+    """Whether offsets are a span at all."""
+    return begin.isNotNull() & end.isNotNull() & (begin >= 0) & (end > begin)
+
+
 def label_validity(emails: DataFrame) -> DataFrame:
-    return span_table(emails).groupBy("label").agg(F.count("*").alias("segments"), F.count_if("valid").alias("valid"))
+    """Per label: segments that are spans at all, and how many of them lie within their text."""
+    return span_table(emails).filter(real(F.col("begin"), F.col("end"))).groupBy("label").agg(F.count("*").alias("segments"), F.count_if("valid").alias("valid"))
 
 
 def failing_segments(emails: DataFrame, limit: int = 8) -> DataFrame:
-    bad = span_table(emails).filter(~F.col("valid"))
-    return bad.select("urn", "i", "label", F.round(100.0 * F.col("begin") / F.col("n"), 1).alias("position_pct")).orderBy("urn", "i").limit(limit)
+    """The first spans that leave their text, with the place of their end in it."""
+    bad = span_table(emails).filter(real(F.col("begin"), F.col("end")) & ~F.col("valid"))
+    return bad.select("urn", "i", "label", F.round(100.0 * F.col("end") / F.greatest("n", F.lit(1)), 1).alias("position_pct")).orderBy("urn", "i").limit(limit)
+
+
+def convention_tally(emails: DataFrame) -> DataFrame:
+    """Messages by offset convention, with those whose every span fits it (clean) and the others (partial); messages without spans are passed over."""
+    t = span_table(emails).filter(real(F.col("begin"), F.col("end"))).withColumn("fits", F.col("end") <= F.col("limit"))
+    per = t.groupBy("urn", "convention").agg(F.bool_and("fits").alias("clean"))
+    return per.groupBy("convention").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("partial"))
+
+
+def convention_examples(emails: DataFrame, limit: int = 5) -> DataFrame:
+    """The first messages of each convention other than char: (convention, urn, n_valid, n_total)."""
+    t = span_table(emails).filter(real(F.col("begin"), F.col("end")) & (F.col("convention") != "char"))
+    per = t.groupBy("convention", "urn").agg(F.count_if(F.col("end") <= F.col("limit")).alias("n_valid"), F.count("*").alias("n_total"))
+    few = per.groupBy("convention").agg(F.slice(F.array_sort(F.collect_list(F.struct("urn", "n_valid", "n_total"))), 1, limit).alias("e"))
+    return few.select("convention", F.explode("e").alias("e")).select("convention", "e.*")

@@ -54,6 +54,7 @@ def clusters(features: DataFrame, columns: list[str], ks: range = range(3, 11),
         scores[k] = ClusteringEvaluator().evaluate(out)
         if best is None or scores[k] > best[0]:
             best = (scores[k], out)
+    v.unpersist()
     return best[1].drop("_raw", "features").withColumnRenamed("prediction", "cluster"), scores
 
 

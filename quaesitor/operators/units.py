@@ -67,18 +67,26 @@ def from_commits(raw: DataFrame) -> DataFrame:
     return finish(df.withColumn("text_unit_id", unit_id(F.col("parent_id"), F.col("role"), F.col("position"))))
 
 
+def limit_of(text: Column, kind: str | Column) -> Column:
+    """The length of a text in the units of a convention."""
+    chars, utf8, utf16 = F.length(text), F.octet_length(text), (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+    if isinstance(kind, str):
+        return {"char": chars, "utf8_bytes": utf8, "utf16_units": utf16}[kind]
+    return F.when(kind == "utf8_bytes", utf8).when(kind == "utf16_units", utf16).otherwise(chars)
+
+
 def convention(text: Column, segments: Column) -> Column:
     """The offset convention that most spans of a text fit: ties go to char, then utf8_bytes, then utf16_units."""
     real = F.filter(segments, lambda s: s["begin"].isNotNull() & s["end"].isNotNull() & (s["begin"] >= 0) & (s["end"] > s["begin"]))
-    fit = lambda limit: F.size(F.filter(real, lambda s: s["end"] <= limit))
-    chars, utf8, utf16 = fit(F.length(text)), fit(F.octet_length(text)), fit((F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int"))
+    fit = lambda kind: F.size(F.filter(real, lambda s: s["end"] <= limit_of(text, kind)))
+    chars, utf8, utf16 = fit("char"), fit("utf8_bytes"), fit("utf16_units")
     best = F.greatest(chars, utf8, utf16)
     return F.when(chars == best, "char").when(utf8 == best, "utf8_bytes").otherwise("utf16_units")
 
 
 def resolve(text: Column, begin: Column, end: Column, kind: Column) -> Column:
     """struct<b, e> in characters, or null: not a span, out of bounds by more than the overshoot, or cut to nothing."""
-    to = lambda n: F.when(kind == "utf8_bytes", T.utf8_to_chars(text, n)).otherwise(n)
+    to = lambda n: F.when(kind == "utf8_bytes", T.utf8_to_chars(text, n)).when(kind == "utf16_units", T.utf16_to_chars(text, n)).otherwise(n)
     n = F.length(text)
     b, e = to(begin), to(end)
     ok = begin.isNotNull() & end.isNotNull() & (begin >= 0) & (end > begin)
@@ -86,10 +94,6 @@ def resolve(text: Column, begin: Column, end: Column, kind: Column) -> Column:
     return F.when(ok & (e <= n) & (b < e), F.struct(b.cast("int").alias("b"), e.cast("int").alias("e")))
 
 
-def resolve_bytes_end(text: Column, end: Column) -> Column:
-    return T.utf8_to_chars(text, end)
-
-
 def with_segments(raw: DataFrame, labels: tuple[str, ...] = KEPT_LABELS) -> DataFrame:
     """Adds convention and kept: array<struct<label, raw text of the span>> in order of (begin, end, place)."""
     df = raw.withColumn("segments", _or_empty("segments")).withColumn("text_plain", F.coalesce("text_plain", F.lit("")))
@@ -115,5 +119,13 @@ def from_emails(raw: DataFrame, labels: tuple[str, ...] = KEPT_LABELS) -> DataFr
 
 
 def extract(issues: DataFrame, pulls: DataFrame, commits: DataFrame, emails: DataFrame) -> DataFrame:
-    """All units; of a unit that comes from several sources the first stays, pulls before issues."""
-    return reduce(DataFrame.unionByName, [from_pulls(pulls), from_issues(issues), from_commits(commits), from_emails(emails)])
+    """All units; of a unit that comes from several sources the first stays, pulls before issues.
+
+    Only what the issue listing calls a pull request can come twice; the other
+    units of a listing are not shuffled. A record that a listing repeats is not
+    looked for here: listings are made distinct when they are read.
+    """
+    first = from_pulls(pulls)
+    flagged = F.col("pull_request").isNotNull()
+    again = from_issues(issues.filter(flagged)).join(first.select("text_unit_id"), "text_unit_id", "left_anti").select(*UNIT)
+    return reduce(DataFrame.unionByName, [first, from_issues(issues.filter(~flagged)), again, from_commits(commits), from_emails(emails)])

@@ -62,9 +62,6 @@ BODIES: dict[str, str] = {
     "q304_metaphors": "SELECT rule_id, count(*) AS n, FIRST_OF(SET_OF(surface_form), 10) AS examples FROM signals WHERE layer = 'rhetorical' AND category = 'metaphor' GROUP BY rule_id",
     # taxonomy
     "q401_unit_features": "SELECT v.text_unit_id, concat(nk.layer, '.', nk.category) AS feature, count(*) AS n, round(ln(CAST(1 + count(*) AS DOUBLE)), 6) AS weight FROM verdicts v JOIN nk ON nk.text_unit_id = v.text_unit_id WHERE v.label = 1 GROUP BY v.text_unit_id, concat(nk.layer, '.', nk.category)",
-    "q404_exemplars": """WITH t AS (SELECT s.layer AS cluster, s.text_unit_id, count(*) AS total FROM signals s GROUP BY s.layer, s.text_unit_id),
-      r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY total DESC, text_unit_id) AS k, row_number() OVER (PARTITION BY cluster ORDER BY md5(text_unit_id), text_unit_id) AS h FROM t)
-      SELECT r.cluster, r.text_unit_id, r.total, CASE WHEN r.k <= 5 THEN 'top' ELSE 'random' END AS kind, left(u.text, 400) AS text FROM r JOIN text_units u ON u.text_unit_id = r.text_unit_id WHERE r.k <= 5 OR r.h <= 10""",
     "q405_coverage": "WITH m AS (SELECT 'lexical' AS layer, 'named' AS kind UNION ALL SELECT 'rhetorical', 'named' UNION ALL SELECT 'word_formation', 'residual'), t AS (SELECT coalesce(m.kind, 'unmapped') AS kind, count(DISTINCT s.text_unit_id) AS units FROM signals s LEFT JOIN m ON m.layer = s.layer GROUP BY 1) SELECT kind, units, round(CAST(units AS DOUBLE) / sum(units) OVER (), 4) AS share FROM t",
     # markers and classifier
     "q501_marker_clf_2x2": f"WITH {FLAGS} SELECT marker, clf, count(*) AS units FROM per_unit GROUP BY marker, clf",
@@ -88,7 +85,7 @@ BODIES: dict[str, str] = {
     "q603_registers": f"WITH t AS (SELECT {ARENA} AS arena, count(*) AS total FROM text_units u GROUP BY 1), g AS (SELECT {ARENA} AS arena, CASE WHEN s.subcategory IN ('repro_gap', 'spec_gap') THEN 'task_register' ELSE 'discursive_register' END AS marker_group, count(DISTINCT u.text_unit_id) AS units FROM text_units u JOIN signals s ON s.text_unit_id = u.text_unit_id WHERE s.status = 'active' AND (s.category = 'hedging' OR s.layer = 'rhetorical' OR s.subcategory IN ('repro_gap', 'spec_gap')) GROUP BY 1, 2) SELECT g.arena, g.marker_group, g.units, round(CAST(1000 AS DOUBLE) * g.units / t.total, 2) AS rate_per_1k FROM g JOIN t ON t.arena = g.arena",
     "q604_signatures": "WITH f AS (SELECT u.repo AS source, concat(nk.layer, '.', nk.category) AS feature, count(*) AS n FROM text_units u JOIN nk ON nk.text_unit_id = u.text_unit_id GROUP BY u.repo, concat(nk.layer, '.', nk.category)) SELECT source, feature, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source), 3) AS share FROM f",
     "q605_thread_position": "WITH p AS (SELECT u.text_unit_id, CASE WHEN r.reply IS NOT NULL THEN 'reply' ELSE 'thread_opener' END AS position FROM text_units u LEFT JOIN (SELECT DISTINCT concat('email:', reply) AS reply FROM replies) r ON r.reply = u.parent_id WHERE u.parent_type = 'email') SELECT p.position, count(DISTINCT p.text_unit_id) AS units, count(DISTINCT nk.text_unit_id) AS nk_units, round(CAST(count(DISTINCT nk.text_unit_id) AS DOUBLE) / count(DISTINCT p.text_unit_id), 3) AS nk_rate FROM p LEFT JOIN nk ON nk.text_unit_id = p.text_unit_id GROUP BY p.position",
-    "q606_threading": "SELECT (SELECT count(*) FROM replies) AS edges, (SELECT count(*) FROM mails m WHERE m.in_reply_to IS NOT NULL AND m.urn NOT IN (SELECT reply FROM replies)) AS dangling",
+    "q606_threading": "SELECT (SELECT count(*) FROM replies) AS edges, (SELECT count(*) FROM mails m LEFT ANTI JOIN replies r ON r.reply = m.urn WHERE m.in_reply_to IS NOT NULL) AS dangling",
     # joins
     "j02_units_by_container": "SELECT u.repo, u.parent_type, count(*) AS units FROM text_units u JOIN (SELECT DISTINCT parent_id FROM text_units WHERE role IN ('title', 'commit_message', 'subject')) p ON p.parent_id = u.parent_id GROUP BY u.repo, u.parent_type",
     "j05_left_with_filter": "SELECT u.text_unit_id, count(nk.signal_id) AS n FROM text_units u LEFT JOIN nk ON nk.text_unit_id = u.text_unit_id AND nk.layer = 'lexical' GROUP BY u.text_unit_id",
@@ -100,13 +97,13 @@ BODIES: dict[str, str] = {
     "j16_resolved_per_group": "SELECT m.list, count(*) AS resolved FROM mails m LEFT SEMI JOIN mails p ON p.message_id = m.in_reply_to AND p.list = m.list GROUP BY m.list",
     # filters and windows
     "f01_scope": "SELECT text_unit_id FROM text_units WHERE (lang IN ('en') OR lang IS NULL) AND coalesce(token_count, 0) >= 2 AND (author_login IS NULL OR author_login NOT LIKE '%[bot]')",
-    "f06_linked_pulls": "WITH linked AS (SELECT DISTINCT parent_number, repo FROM refs) SELECT u.text_unit_id FROM text_units u LEFT JOIN linked l ON l.repo = u.repo AND l.parent_number = u.parent_number WHERE u.parent_type <> 'pull_request' OR l.repo IS NOT NULL",
+    "f06_linked_pulls": "WITH linked AS (SELECT DISTINCT r.parent_id FROM refs r JOIN (SELECT DISTINCT repo, parent_number FROM text_units WHERE parent_type = 'issue') i ON i.repo = r.repo AND i.parent_number = r.number) SELECT u.text_unit_id FROM text_units u LEFT JOIN linked l ON l.parent_id = u.parent_id WHERE coalesce(u.parent_type, '') <> 'pull_request' OR l.parent_id IS NOT NULL",
     "f09_evidence": "SELECT signal_id FROM nk",
     "f12_every_tenth": "WITH r AS (SELECT text_unit_id, row_number() OVER (PARTITION BY repo ORDER BY text_unit_id) AS n FROM text_units) SELECT text_unit_id FROM r WHERE n % 10 = 0",
     "f13_head_per_source": "WITH r AS (SELECT text_unit_id, row_number() OVER (PARTITION BY repo ORDER BY text_unit_id) AS n FROM text_units) SELECT text_unit_id FROM r WHERE n <= 5",
     "f15_two_layers": "SELECT text_unit_id, count(DISTINCT layer) AS layers FROM nk GROUP BY text_unit_id HAVING count(DISTINCT layer) >= 2",
-    "w05_first_writer": "WITH r AS (SELECT lemma, rule_version, pos, category, row_number() OVER (PARTITION BY lemma, rule_version ORDER BY rule_id, signal_id) AS n FROM signals WHERE layer = 'lexical') SELECT lemma, rule_version, pos, category FROM r WHERE n = 1",
-    "w06_last_writer": "WITH r AS (SELECT rule_id, status, weight, row_number() OVER (PARTITION BY rule_id ORDER BY signal_id DESC) AS n FROM signals) SELECT rule_id, status, weight FROM r WHERE n = 1",
+    "w05_first_writer": "SELECT lemma, rule_version, MIN_BY(pos, rule_id, signal_id) AS pos, MIN_BY(category, rule_id, signal_id) AS category FROM signals WHERE layer = 'lexical' GROUP BY lemma, rule_version",
+    "w06_last_writer": "SELECT rule_id, MAX_BY(status, signal_id) AS status, MAX_BY(weight, signal_id) AS weight FROM signals GROUP BY rule_id",
     "o02_top_sources": "SELECT repo, count(*) AS n FROM text_units GROUP BY repo ORDER BY n DESC, repo LIMIT 25",
     "o03_hash_sample": "SELECT text_unit_id FROM text_units ORDER BY md5(text_unit_id), text_unit_id LIMIT 50",
     "u03_certainty_union": f"SELECT DISTINCT subcategory FROM (SELECT subcategory FROM signals WHERE layer = 'lexical' AND polarity = 'certainty' UNION ALL SELECT subcategory FROM signals WHERE layer = 'word_formation' AND polarity = 'certainty') t",
@@ -126,8 +123,8 @@ BODIES: dict[str, str] = {
     "q607_mechanisms": "SELECT mechanism, count(*) AS n FROM refs GROUP BY mechanism",
     "x13_references": "SELECT text_unit_id, place, number, mechanism FROM refs",
     # reports over the mailing lists
-    "e01_inventory": "WITH g AS (SELECT list, count(*) AS messages, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS en, count(DISTINCT lang) AS n_langs FROM mails GROUP BY list), l AS (SELECT list, lang, count(*) AS n, row_number() OVER (PARTITION BY list ORDER BY count(*) DESC, lang) AS r FROM mails GROUP BY list, lang) SELECT g.list AS grp, g.messages, g.messages * 10 AS messages_estimated, l.lang AS top_lang, round(CAST(100 AS DOUBLE) * l.n / g.messages, 1) AS top_lang_pct, round(CAST(100 AS DOUBLE) * g.en / g.messages, 1) AS en_pct, g.n_langs FROM g JOIN l ON l.list = g.list AND l.r = 1 WHERE g.messages >= 2",
-    "e02_identity": "SELECT list AS grp, count(*) AS messages, count(DISTINCT trim(sender)) AS unique_authors, round(CAST(count(*) AS DOUBLE) / count(DISTINCT trim(sender)), 1) AS msgs_per_author, min(CAST(left(created, 4) AS INTEGER)) AS year_min, max(CAST(left(created, 4) AS INTEGER)) AS year_max FROM mails GROUP BY list",
+    "e01_inventory": "WITH g AS (SELECT list, count(*) AS messages, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS en, count(DISTINCT lang) AS n_langs FROM mails GROUP BY list), l AS (SELECT list, lang, count(*) AS n, row_number() OVER (PARTITION BY list ORDER BY count(*) DESC, lang) AS r FROM mails GROUP BY list, lang), y AS (SELECT list, min(CAST(left(created, 4) AS INTEGER)) AS year_min, max(CAST(left(created, 4) AS INTEGER)) AS year_max FROM mails GROUP BY list) SELECT g.list AS grp, g.messages, g.messages * 10 AS messages_estimated, l.lang AS top_lang, round(CAST(100 AS DOUBLE) * l.n / g.messages, 1) AS top_lang_pct, round(CAST(100 AS DOUBLE) * g.en / g.messages, 1) AS en_pct, g.n_langs, y.year_min, y.year_max FROM g JOIN l ON l.list = g.list AND l.r = 1 JOIN y ON y.list = g.list WHERE g.messages >= 2 ORDER BY messages_estimated DESC, grp",
+    "e02_identity": "SELECT list AS grp, count(*) AS messages, count(*) * 10 AS messages_estimated, round(CAST(100 AS DOUBLE) * sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) / count(*), 1) AS en_pct, count(DISTINCT trim(sender)) AS unique_authors, round(CAST(count(*) AS DOUBLE) / count(DISTINCT trim(sender)), 1) AS msgs_per_author, min(CAST(left(created, 4) AS INTEGER)) AS year_min, max(CAST(left(created, 4) AS INTEGER)) AS year_max FROM mails GROUP BY list",
     "e03_threading": "WITH r AS (SELECT DISTINCT m.urn FROM mails m JOIN mails p ON p.message_id = m.in_reply_to AND p.list = m.list) SELECT m.list AS grp, round(CAST(100 AS DOUBLE) * count(m.in_reply_to) / count(*), 1) AS reply_pct, round(CAST(100 AS DOUBLE) * count(r.urn) / greatest(count(m.in_reply_to), 1), 1) AS thread_resolution_pct FROM mails m LEFT JOIN r ON r.urn = m.urn GROUP BY m.list",
     "e08_length_buckets": "SELECT list AS grp, CASE WHEN length(body) = 0 THEN '0' WHEN length(body) < 200 THEN '1-200' WHEN length(body) < 1000 THEN '200-1k' WHEN length(body) < 5000 THEN '1k-5k' ELSE '5k+' END AS bucket, count(*) AS n FROM mails GROUP BY 1, 2",
 }
@@ -136,8 +133,12 @@ BODIES: dict[str, str] = {
 def render(body: str, engine: str) -> str:
     """The body in the engine's spelling ('spark' or 'duck')."""
     if engine == "spark":
+        body = re.sub(r"MIN_BY\((\w+), (\w+), (\w+)\)", r"min_by(\1, struct(\2, \3))", body)
+        body = re.sub(r"MAX_BY\((\w+), (\w+)\)", r"max_by(struct(\1), \2).\1", body)
         body = re.sub(r"SET_OF\(((?:[^()]|\([^()]*\))*)\)", r"array_sort(collect_set(\1))", body)
         return re.sub(r"FIRST_OF\((.*?\)\)), (\d+)\)", r"slice(\1, 1, \2)", body)
+    body = re.sub(r"MIN_BY\((\w+), (\w+), (\w+)\)", r"min_by({'x': \1}, {'a': \2, 'b': \3}).x", body)
+    body = re.sub(r"MAX_BY\((\w+), (\w+)\)", r"max_by({'x': \1}, \2).x", body)
     body = re.sub(r"SET_OF\(((?:[^()]|\([^()]*\))*)\)", r"list_sort(coalesce(list(DISTINCT \1) FILTER (\1 IS NOT NULL), []))", body)
     body = re.sub(r"FIRST_OF\((.*?, \[\]\)\)), (\d+)\)", r"(\1)[1:\2]", body)
     return re.sub(r"LEFT (ANTI|SEMI) JOIN", r"\1 JOIN", body)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +114,14 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("email:urn:"), F.col("doc_id").cast("string"), F.lit(":paragraph:1")))
     )
     return d.select(unit.alias("text_unit_id"), F.lit("hand").alias("model_id"), F.lit("1").alias("model_version"), F.col("quality").cast("int").alias("label"), (F.lit(0.5) + (F.col("doc_id") % 50) / 100).cast("double").alias("confidence"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All artefacts as raw records of mixed types: JSON documents, some of a type that nothing reads."""
+    made = [(raw_issues(spark, sf_dir), "issue", "issue", "source"), (raw_pulls(spark, sf_dir), "issue", "pull_request", "source"), (raw_commits(spark, sf_dir), "commit", None, "source"), (raw_emails(spark, sf_dir), "email", None, "group")]
+    out = [d.select(F.lit(kind).alias("item_type"), F.lit(sub).cast("string").alias("item_subtype"), F.col(repo).alias("repo"), F.to_json(F.struct(*[c for c in d.columns if c not in ("doc_id", "three", "one", "two", "created", "source")])).alias("doc")) for d, kind, sub, repo in made]
+    d = documents(spark, sf_dir)
+    user = F.struct(F.concat(F.lit("ghost"), (F.col("doc_id") % 3).cast("string")).alias("login"))
+    out.append(d.filter("doc_id % 50 = 1").select(F.lit("release"), F.lit(None).cast("string"), F.concat(F.lit("only-"), "source"), F.to_json(F.struct(user.alias("user"), F.col("body").alias("notes")))))
+    out.append(d.filter("doc_id % 40 = 2").select(F.lit("repository"), F.lit(None).cast("string"), F.col("source"), F.to_json(F.struct(F.col("source").alias("full_name"), F.col("lang").alias("language"), F.col("doc_id").alias("stargazers_count")))))
+    return reduce(DataFrame.union, out)

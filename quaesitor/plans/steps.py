@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotate, eda, graph, rules, stats, units
+from ..operators import annotate, dispatch, eda, graph, rules, stats, units
 from ..sources import landing
 from ..streaming import pipeline as stream
 from . import duck, fixture
@@ -218,18 +218,66 @@ def verdict_model(spark, sf_dir):
     return annotate.verdicts(_text_units(spark, sf_dir))
 
 
-def unit_clusters(spark, sf_dir):
+def cluster_features() -> list[str]:
+    """Every layer.category that a rule can give, from the rule set itself: no job looks for them."""
+    found = {f"{a.layer}.{a.category}" for a in rules.alternatives() if a.layer != "classifier"} | {f"word_formation.{a.category}" for a in rules.affixes()} | {"morpho_syntactic.syntactic_pattern"}
+    return sorted(found)
+
+
+def _cluster_column(feature: str) -> str:
+    return feature.replace(".", "__")
+
+
+def unit_features(spark, sf_dir):
+    """log(1 + count) of each layer.category for the units of label 1 that have evidence."""
     from . import catalogue
 
     catalogue.views(spark, sf_dir)
-    f = spark.sql("SELECT text_unit_id, layer, count(*) AS n FROM nk GROUP BY text_unit_id, layer")
-    layers = ["lexical", "morpho_syntactic", "rhetorical", "word_formation"]
-    wide = stats.pivot(f, "text_unit_id", "layer", layers).select("text_unit_id", *[F.log1p(F.col(c)).alias(c) for c in layers])
-    return stats.clusters(wide, layers)[0]
+    f = spark.sql("SELECT nk.text_unit_id, concat(nk.layer, '.', nk.category) AS feature, count(*) AS n FROM nk LEFT SEMI JOIN (SELECT text_unit_id FROM verdicts WHERE label = 1) v ON v.text_unit_id = nk.text_unit_id GROUP BY 1, 2")
+    names = cluster_features()
+    return stats.pivot(f, "text_unit_id", "feature", names).select("text_unit_id", *[F.log1p(F.col(f"`{n}`")).alias(_cluster_column(n)) for n in names])
+
+
+def unit_clusters(spark, sf_dir):
+    return stats.clusters(unit_features(spark, sf_dir), [_cluster_column(n) for n in cluster_features()])[0]
 
 
 def cluster_profile(spark, sf_dir):
-    return unit_clusters(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("units"), *[F.round(F.avg(c), 4).alias(c) for c in ("lexical", "morpho_syntactic", "rhetorical", "word_formation")])
+    """Cluster, units and the mean of each feature in the cluster."""
+    return unit_clusters(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("units"), *[F.round(F.avg(c), 4).alias(c) for c in map(_cluster_column, cluster_features())])
+
+
+def exemplars(members, texts, top: int = 5, random: int = 10):
+    """Of each cluster the units of most signals, and as many others by a hash of the id: (cluster, text_unit_id, total, kind, text).
+
+    `members` has cluster, text_unit_id and total. Each choice is an aggregate
+    that keeps as many rows as it needs, so a large cluster is no single task.
+    """
+    best = landing.least_by(members, ["cluster"], F.struct((-F.col("total")).alias("o"), "text_unit_id", "total"), top).select("cluster", "e.text_unit_id", "e.total", F.lit("top").alias("kind"))
+    rest = members.join(best.select("cluster", "text_unit_id"), ["cluster", "text_unit_id"], "left_anti")
+    drawn = landing.least_by(rest, ["cluster"], F.struct(F.md5(F.col("text_unit_id").cast("binary")).alias("o"), "text_unit_id", "total"), random).select("cluster", "e.text_unit_id", "e.total", F.lit("random").alias("kind"))
+    return best.union(drawn).join(texts.select("text_unit_id", F.left("text", F.lit(400)).alias("text")), "text_unit_id").select("cluster", "text_unit_id", "total", "kind", "text")
+
+
+def cluster_exemplars(spark, sf_dir):
+    c = unit_clusters(spark, sf_dir)
+    total = sum((F.expm1(F.col(_cluster_column(n))) for n in cluster_features()), F.lit(0.0))
+    return exemplars(c.select("cluster", "text_unit_id", F.round(total).cast("long").alias("total")), _text_units(spark, sf_dir))
+
+
+def layer_exemplars(spark, sf_dir):
+    """The same choice with the layer as the cluster, which SQL can check."""
+    from . import catalogue
+
+    catalogue.views(spark, sf_dir)
+    members = spark.sql("SELECT layer AS cluster, text_unit_id, count(*) AS total FROM signals GROUP BY layer, text_unit_id")
+    return exemplars(members, _text_units(spark, sf_dir))
+
+
+LAYER_EXEMPLARS_SQL = """, t AS (SELECT layer AS cluster, text_unit_id, count(*) AS total FROM signals GROUP BY layer, text_unit_id),
+best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY total DESC, text_unit_id) <= 5),
+drawn AS (SELECT * FROM (SELECT * FROM t EXCEPT SELECT * FROM best) r QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY md5(text_unit_id), text_unit_id) <= 10)
+SELECT cluster, text_unit_id, total, kind, left(text, 400) AS text FROM (SELECT *, 'top' AS kind FROM best UNION ALL SELECT *, 'random' FROM drawn) x JOIN (SELECT text_unit_id, text FROM text_units) u USING (text_unit_id)"""
 
 
 def two_stage_stream(spark, sf_dir):
@@ -262,10 +310,40 @@ def segment_profile_sql():
 def mail_profile_sql():
     pct = E_COLS["pct"]
     templated = duck.q(eda.TEMPLATED)
-    return duck.base() + f""", kn AS (SELECT m.doc_id, count(k.doc_id) AS kept FROM mails m LEFT JOIN kept k USING (doc_id) GROUP BY m.doc_id)
+    return duck.base() + f""", kn AS (SELECT doc_id, count(*) FILTER (label IN ('paragraph', 'section_heading')) AS kept FROM segs GROUP BY doc_id),
+un AS (SELECT repo AS list, count(*) AS units, count(*) FILTER (lang = 'en' AND token_count >= 2 AND NOT ends_with(author_login, '[bot]')) AS fit FROM text_units WHERE parent_type = 'email' GROUP BY repo)
 SELECT list AS grp, {pct(f"count(*) FILTER {_any('sender', eda.BOT_HINTS)}", "count(*)")} AS bot_from_pct, {pct(f"count(*) FILTER (regexp_matches(subject, {templated}))", "count(*)")} AS templated_subject_pct,
-{pct("count(*) FILTER (convention = 'utf8_bytes')", "count(*)")} AS utf8_bytes_doc_pct, round(CAST(sum(kept) AS DOUBLE) / count(*), 2) AS kept_segments_per_msg, CAST(sum(kept + CASE WHEN length(subject) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS est_text_units,
-round(avg(length(body)), 2) AS mean_chars_per_msg, {pct(f"count(*) FILTER {_any('body', eda.PRESCREEN)}", "count(*)")} AS nk_prescreen_pct FROM mails JOIN conv USING (doc_id) JOIN kn USING (doc_id) GROUP BY list"""
+{pct("count(*) FILTER (convention = 'utf8_bytes')", "count(*)")} AS utf8_bytes_doc_pct, round(CAST(sum(kept) AS DOUBLE) / count(*), 2) AS kept_segments_per_msg, CAST(any_value(units) AS BIGINT) AS est_text_units, CAST(10 * any_value(units) AS BIGINT) AS est_text_units_scaled, CAST(10 * any_value(fit) AS BIGINT) AS est_annotatable_units_scaled,
+CAST(round(avg(length(body)), 0) AS BIGINT) AS mean_chars_per_msg, {pct(f"count(*) FILTER {_any('body', eda.PRESCREEN)}", "count(*)")} AS nk_prescreen_pct FROM mails JOIN conv USING (doc_id) JOIN kn USING (doc_id) JOIN un USING (list) GROUP BY list"""
+
+
+TALLY_SQL = """, real AS (SELECT s.doc_id, convention, e <= CASE convention WHEN 'char' THEN length(body) ELSE strlen(body) END AS fits FROM segs s JOIN conv USING (doc_id) WHERE b >= 0 AND e > b),
+per AS (SELECT doc_id, convention, count(*) FILTER (fits) AS n_valid, count(*) AS n_total FROM real GROUP BY doc_id, convention) """
+
+
+def records(spark, sf_dir):
+    return fixture.records(spark, sf_dir)
+
+
+def edge_query(kind: str) -> Query:
+    def run(spark, sf_dir):
+        r = records(spark, sf_dir)
+        return dispatch.contains(r, kind).withColumn("type", F.lit("CONTAINS")).unionByName(dispatch.authored(r, kind).withColumn("type", F.lit("AUTHORED")))
+
+    return run
+
+
+ACTORS_SQL = "SELECT author AS login FROM docs WHERE kind < 2 UNION SELECT 'ghost' || (doc_id % 3) FROM docs WHERE doc_id % 50 = 1 UNION SELECT trim(sender) FROM mails"
+
+
+def edge_sql(table: str, src: str, dst: str, login: str) -> Callable[[], str]:
+    return lambda: duck.base() + f", actors AS ({ACTORS_SQL}) SELECT 'CONTAINS' AS type, {src} AS src, {dst} AS dst FROM {table} UNION ALL SELECT 'AUTHORED', {login}, {dst} FROM {table} WHERE {login} IN (SELECT login FROM actors)"
+
+
+def classified_as(spark, sf_dir):
+    """CLASSIFIED_AS edges: verdicts of units that exist."""
+    v = fixture.verdicts(spark, sf_dir).join(_text_units(spark, sf_dir).select("text_unit_id"), "text_unit_id", "left_semi")
+    return v.select(F.col("text_unit_id").alias("src"), F.concat_ws("::", "text_unit_id", "model_id", "model_version").alias("dst"))
 
 
 def _by_type(kind: str) -> tuple[Query, Callable[[], str]]:
@@ -324,12 +402,26 @@ STEPS: dict[str, tuple[Query, Callable[[], str] | None]] = {
     "m03_issues": (issue_nodes, lambda: duck.base() + "SELECT source AS repo, CAST(doc_id AS INTEGER) AS number, created AS created_at, CASE WHEN doc_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, CAST(NULL AS VARCHAR) AS closed_at, ['bug', lang] AS labels FROM docs WHERE kind = 0"),
     "m04_pulls": (pull_nodes, lambda: duck.base() + "SELECT source AS repo, CAST(doc_id AS INTEGER) AS number, created AS created_at, CASE WHEN doc_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, doc_id % 3 = 0 AS merged FROM docs WHERE kind = 1"),
     "e05_segments": (lambda spark, sf_dir: eda.segment_profile(fixture.raw_emails(spark, sf_dir)), segment_profile_sql),
-    "e06_mail_profile": (lambda spark, sf_dir: eda.mail_profile(fixture.raw_emails(spark, sf_dir)), mail_profile_sql),
-    "d01_conventions": (lambda spark, sf_dir: conventions(spark, sf_dir).groupBy("convention").agg(F.count("*").alias("n")), lambda: duck.base() + "SELECT convention, count(*) AS n FROM conv GROUP BY convention"),
-    "d02_label_validity": (lambda spark, sf_dir: eda.label_validity(fixture.raw_emails(spark, sf_dir)), lambda: duck.base() + "SELECT label, count(*) AS segments, count(*) FILTER (valid) AS valid FROM spans GROUP BY label"),
-    "d03_failing_segments": (lambda spark, sf_dir: eda.failing_segments(fixture.raw_emails(spark, sf_dir)), lambda: duck.base() + "SELECT 'urn:' || doc_id AS urn, CAST(i AS INTEGER) AS i, label, round(100.0::DOUBLE * b / length(body), 1) AS position_pct FROM spans WHERE NOT valid ORDER BY urn, i LIMIT 8"),
+    "e06_mail_profile": (lambda spark, sf_dir: eda.mail_profile(fixture.raw_emails(spark, sf_dir), sample_rate=10), mail_profile_sql),
+    "d01_conventions": (lambda spark, sf_dir: eda.convention_tally(fixture.raw_emails(spark, sf_dir)), lambda: duck.base() + TALLY_SQL + "SELECT convention, count(*) AS n, count(*) FILTER (n_valid = n_total) AS clean, count(*) FILTER (n_valid < n_total) AS partial FROM per GROUP BY convention"),
+    "d02_label_validity": (lambda spark, sf_dir: eda.label_validity(fixture.raw_emails(spark, sf_dir)), lambda: duck.base() + "SELECT label, count(*) AS segments, count(*) FILTER (valid) AS valid FROM spans WHERE b >= 0 AND e > b GROUP BY label"),
+    "d03_failing_segments": (lambda spark, sf_dir: eda.failing_segments(fixture.raw_emails(spark, sf_dir)), lambda: duck.base() + "SELECT 'urn:' || doc_id AS urn, CAST(i AS INTEGER) AS i, label, round(100.0::DOUBLE * e / greatest(length(body), 1), 1) AS position_pct FROM spans WHERE NOT valid AND b >= 0 AND e > b ORDER BY urn, i LIMIT 8"),
+    "d03b_convention_examples": (lambda spark, sf_dir: eda.convention_examples(fixture.raw_emails(spark, sf_dir)), lambda: duck.base() + TALLY_SQL + "SELECT convention, urn, n_valid, n_total FROM (SELECT *, 'urn:' || doc_id AS urn, row_number() OVER (PARTITION BY convention ORDER BY 'urn:' || doc_id) AS k FROM per WHERE convention <> 'char') t WHERE k <= 5"),
+    "p15_dispatch": (lambda spark, sf_dir: records(spark, sf_dir).groupBy(dispatch.kind_of().alias("kind")).agg(F.count("*").alias("n")), lambda: duck.base() + "SELECT CASE kind WHEN 0 THEN 'issue' WHEN 1 THEN 'pull_request' WHEN 2 THEN 'commit' ELSE 'email' END AS kind, count(*) AS n FROM docs GROUP BY 1 UNION ALL SELECT 'repository', count(*) FROM docs WHERE doc_id % 40 = 2 UNION ALL SELECT NULL, count(*) FROM docs WHERE doc_id % 50 = 1"),
+    "p15b_dispatched_units": (lambda spark, sf_dir: dispatch.text_units(records(spark, sf_dir)), lambda: duck.base() + "SELECT * FROM text_units"),
+    "m01b_bare_repositories": (lambda spark, sf_dir: dispatch.repositories(records(spark, sf_dir)), lambda: duck.base() + "SELECT source AS full_name FROM docs WHERE kind < 3 OR doc_id % 40 = 2 UNION SELECT 'only-' || source FROM docs WHERE doc_id % 50 = 1"),
+    "m18_actors": (lambda spark, sf_dir: dispatch.actors(records(spark, sf_dir)), lambda: duck.base() + f"SELECT login, 'User' AS type FROM ({ACTORS_SQL}) t WHERE login <> ''"),
+    "m03e_issue_edges": (edge_query("issue"), edge_sql("(SELECT * FROM docs WHERE kind = 0) t", "'repo:' || source", "'issue:' || source || ':' || doc_id", "author")),
+    "m04e_pull_edges": (edge_query("pull_request"), edge_sql("(SELECT * FROM docs WHERE kind = 1) t", "'repo:' || source", "'pr:' || source || ':' || doc_id", "author")),
+    "m05_commits": (lambda spark, sf_dir: dispatch.nodes(records(spark, sf_dir), "commit"), lambda: duck.base() + "SELECT sha, created AS authored_at, created AS committed_at, left(split_part(body, chr(10), 1), 200) AS message_summary FROM docs WHERE kind = 2"),
+    "m05e_commit_edges": (edge_query("commit"), edge_sql("(SELECT *, CASE WHEN doc_id % 5 <> 0 THEN author END AS login FROM docs WHERE kind = 2) t", "'repo:' || source", "'commit:' || sha", "login")),
+    "m08e_email_edges": (edge_query("email"), edge_sql("mails", "'list:' || list", "'email:' || urn", "trim(sender)")),
+    "m10_classified_as": (classified_as, lambda: duck.base() + "SELECT text_unit_id AS src, text_unit_id || '::' || model_id || '::' || model_version AS dst FROM verdicts SEMI JOIN text_units USING (text_unit_id)"),
+    "m18_edge_counts": (lambda spark, sf_dir: dispatch.edges(records(spark, sf_dir)).groupBy("type", F.substring_index("dst", ":", 1).alias("kind")).agg(F.count("*").alias("n")), lambda: duck.base() + f", actors AS ({ACTORS_SQL}), k AS (SELECT *, CASE kind WHEN 0 THEN 'issue' WHEN 1 THEN 'pr' WHEN 2 THEN 'commit' ELSE 'email' END AS to_kind, CASE kind WHEN 2 THEN CASE WHEN doc_id % 5 <> 0 THEN author END WHEN 3 THEN CASE WHEN doc_id % 41 = 0 THEN 'jenkins@ci' ELSE author END ELSE author END AS login FROM docs) SELECT 'CONTAINS' AS type, to_kind AS kind, count(*) AS n FROM k GROUP BY to_kind UNION ALL SELECT 'AUTHORED', to_kind, count(*) FROM k WHERE login IN (SELECT login FROM actors) GROUP BY to_kind"),
     "q402_unit_clusters": (unit_clusters, None),
     "q403_cluster_profile": (cluster_profile, None),
+    "q404_exemplars": (cluster_exemplars, None),
+    "w03_top_and_random": (layer_exemplars, lambda: duck.base() + LAYER_EXEMPLARS_SQL),
     "t03_two_stage_stream": (two_stage_stream, lambda: duck.base() + "SELECT layer, count(*) AS n FROM signals GROUP BY layer"),
 }
 

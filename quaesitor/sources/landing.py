@@ -63,6 +63,14 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def least_by(df: DataFrame, keys: list[str], entry: Column, n: int) -> DataFrame:
+    """The n least entries of each key, a row each, in column e: groups are cut to n before they meet, so no key fills a task."""
+    salted = df.select(*keys, entry.alias("e"), F.pmod(F.xxhash64(entry), F.lit(64)).alias("_salt"))
+    cut = lambda c: F.slice(F.array_sort(c), 1, n)
+    part = salted.groupBy(*keys, "_salt").agg(cut(F.collect_list("e")).alias("p"))
+    return part.groupBy(*keys).agg(cut(F.flatten(F.collect_list("p"))).alias("p")).select(*keys, F.explode("p").alias("e"))
+
+
 def new_records(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Rows of the batch whose key the target lacks."""
     return batch.join(target.select(key), key, "left_anti")
