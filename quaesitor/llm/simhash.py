@@ -280,33 +280,54 @@ def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(h))
 
 
-def _possible(n: np.ndarray, pos: np.ndarray, at: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two sets of n values, sharing the ones at pos first, can have the similarity."""
-    least = similarity / (1 + similarity) * (n[at].astype(np.int64) + n[to]) - 1e-6
-    return np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least
+#: Longs of a text's parity map: a bit for each of 64 x WORDS classes of shingles, set if the text holds an odd number of the class.
+MAP_WORDS = 8
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity map of a set of shingle hashes. Each shingle that only one of two sets holds flips one bit, so two maps never differ in more bits than the sets in shingles."""
+    odd = np.bincount((shingles % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _possible(n: np.ndarray, pos: np.ndarray, maps: list[np.ndarray], at: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of n values, sharing the ones at pos first, can have the similarity: by what may follow there, and by their parity maps."""
+    both = n[at].astype(np.int64) + n[to]
+    near = np.minimum(n[at] - pos[at], n[to] - pos[to]) >= similarity / (1 + similarity) * both - 1e-6
+    if maps and near.any():
+        left = np.flatnonzero(near)
+        apart = sum(np.bitwise_count(m[at[left]] ^ m[to[left]]).astype(np.int64) for m in maps)
+        near[left] = apart <= (1 - similarity) / (1 + similarity) * both[left] + 1e-6
+    return near
+
+
+MAPS = [f"m{k}" for k in range(MAP_WORDS)]
 
 
 def meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """The rows (h, n, iid, pos) of `prefixes` that share the shingle h with a text that can be near."""
+    """The rows of `prefixes` (h, n, iid, pos, and m0, m1, ... where it has them) that share the shingle h with a text that can be near."""
+    names = ["h", "n", "iid", "pos", *[m for m in MAPS if m in prefixes.columns]]
 
     def work(columns):
-        h, n, _, pos = columns
+        h, n, _, pos, *maps = columns
+        maps = [m.view(np.uint64) for m in maps]
         first, end = _bounds(h)
         stop = np.repeat(end, end - first)
         shared = np.zeros(len(h), bool)
         at, d = np.arange(len(h)), 1
         while len(at := at[at + d < stop[at]]):
             at = at[n[at] >= similarity * n[at + d] - 1e-6]
-            near = _possible(n, pos, at, at + d, similarity)
+            near = _possible(n, pos, maps, at, at + d, similarity)
             shared[at[near]] = shared[at[near] + d] = True
             d += 1
-        return pa.RecordBatch.from_arrays([pa.array(v[shared]) for v in columns], names=["h", "n", "iid", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(v[shared]) for v in columns], names=names)
 
-    return _runs(prefixes.repartition("h").sortWithinPartitions("h", "n", "iid"), "h long, n int, iid long, pos int", work)
+    schema = "h long, n int, iid long, pos int" + "".join(f", {m} long" for m in names[4:])
+    return _runs(prefixes.select(*names).repartition("h").sortWithinPartitions("h", "n", "iid"), schema, work)
 
 
 def met_pairs(met: DataFrame, similarity: float, adjacent: bool) -> DataFrame:
-    """(a, b) with a < b: texts that share a shingle of `met` and can have the similarity by their sizes and the shingle's places.
+    """(a, b) with a < b: texts that share a shingle of `met` and can have the similarity by their sizes, the shingle's places and their parity maps.
 
     With adjacent only neighbours by size in each group; else all pairs of
     different `root`. No pair of the similarity is passed over: at the first
@@ -314,17 +335,18 @@ def met_pairs(met: DataFrame, similarity: float, adjacent: bool) -> DataFrame:
     """
 
     def work(columns):
-        h, n, ids, pos, root = columns
+        h, n, ids, pos, root, *maps = columns
+        maps = [m.view(np.uint64) for m in maps]
         first, end = _bounds(h)
         stop = np.repeat(end, end - first)
         a, b = [], []
         at, d = np.arange(len(h)), 1
         while len(at := at[at + d < stop[at]]):
             at = at[n[at] >= similarity * n[at + d] - 1e-6]  # sorted by size: farther ones are larger still
-            to = at + d
-            near = (root[at] != root[to]) & _possible(n, pos, at, to, similarity)
-            a.append(ids[at[near]])
-            b.append(ids[to[near]])
+            some = at[root[at] != root[at + d]]
+            some = some[_possible(n, pos, maps, some, some + d, similarity)]
+            a.append(ids[some])
+            b.append(ids[some + d])
             d += 1
             if adjacent:
                 break
@@ -332,7 +354,7 @@ def met_pairs(met: DataFrame, similarity: float, adjacent: bool) -> DataFrame:
         pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    keyed = met.select("h", "n", "iid", "pos", "root").repartition("h").sortWithinPartitions("h", "n", "iid")
+    keyed = met.select("h", "n", "iid", "pos", "root", *MAPS).repartition("h").sortWithinPartitions("h", "n", "iid")
     return _runs(keyed, "a long, b long", work).distinct()
 
 
@@ -341,8 +363,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
 
     Texts link when they are the same words, or when their sets of `words`-word
     shingles have a Jaccard similarity of `similarity` or more. Every such pair
-    shares one of the first shingles of both in a common order; what meets there
-    is decided on the whole sets. Neighbours by size come first, then all pairs that these
+    shares one of the first shingles of both in a common order; what meets there and
+    can be near by its parity map is decided on the whole sets. Neighbours by size come first, then all pairs that these
     have not put in one group. A group is what links reach. Null and blank texts
     are one group. Repeated rows of an id are one document and stay together;
     rows with a null id always stay. Columns of any name pass through; an empty
@@ -357,7 +379,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     digest = lambda parts: xxhash.xxh3_128_hexdigest(b" ".join(parts))
     every = lambda parts: np.unique(_shingles(parts, words)) if parts else np.empty(0, np.uint64)
 
-    @F.pandas_udf("key string, n int, first array<long>")
+    @F.pandas_udf("key string, n int, first array<long>, map array<long>")
     def measure(texts):
         import pandas as pd
 
@@ -365,8 +387,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
         for t in texts:
             parts = _words(t)
             s = every(parts)
-            out.append((digest(parts), len(s), prefix(s, similarity, known, order).view(np.int64)))
-        return pd.DataFrame(out, columns=["key", "n", "first"])
+            out.append((digest(parts), len(s), prefix(s, similarity, known, order).view(np.int64), parity(s)))
+        return pd.DataFrame(out, columns=["key", "n", "first", "map"])
 
     @F.pandas_udf("array<long>")
     def whole(texts, keys):
@@ -384,7 +406,9 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     items = rows.groupBy("key").agg(F.min("id").alias("least_id"))
     items = written(items.orderBy("least_id", "key").withColumn("iid", F.monotonically_increasing_id()))  # ids in this order, so that runs agree
     one = items.join(rows.withColumnRenamed("id", "least_id"), ["least_id", "key"]).dropDuplicates(["iid"])
-    met = written(meetings(one.select(F.posexplode("first").alias("pos", "h"), "n", "iid").select("h", "n", "iid", "pos"), similarity))
+    met = meetings(one.select(F.posexplode("first").alias("pos", "h"), "n", "iid").select("h", "n", "iid", "pos"), similarity)
+    maps = one.select("iid", *[F.col("map")[k].alias(m) for k, m in enumerate(MAPS)])
+    met = written(meetings(written(met).join(maps, "iid"), similarity))  # the maps of those that met at all
     ids = met.select("iid").distinct().join(items, "iid").select(F.col("least_id").alias("id"), F.col("key").alias("_key"), "iid")
     sets = texts.join(ids, "id").select("iid", whole(F.col("_text"), F.col("_key")).alias("held")).filter("held IS NOT NULL")
     sets = written(sets.dropDuplicates(["iid"]))

@@ -435,3 +435,15 @@ def test_leaks_equal_plain_windows(spark, sf):
                 want.add(d.doc_id)
     got = {r.doc_id for r in decontaminate.flagged(docs, bench).filter(F.col("contaminated")).collect()}
     assert got == want and want
+
+
+def test_parity_maps_never_part_near_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 500, 6000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.02, 0.1, 0.3, 1.0):
+            new = rng.integers(0, 2**63, int(n * share), dtype=np.uint64)
+            a, b = np.unique(base), np.unique(np.concatenate((base[len(new) :], new)))
+            apart = int(np.bitwise_count((simhash.parity(a) ^ simhash.parity(b)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+    assert not simhash.parity(np.empty(0, np.uint64)).any()
