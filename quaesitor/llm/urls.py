@@ -5,14 +5,18 @@ Only DataFrame functions and Spark's own FP-growth.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-#: Bad rows that a combination needs at least, whatever its share, and tokens that it has at most.
-LEAST_ROWS, MOST_TOKENS = 20, 4
+#: Bad rows that a combination needs at least, whatever its share: fewer are no evidence.
+LEAST_ROWS = 20
+#: Repeats of one set of tokens that one row is unfolded to at a time.
+UNFOLD = 4096
 
 #: (action, rule): a rule is a host, then the start of a path.
 Rules = list[tuple[str, str]]
@@ -82,20 +86,36 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, least_r
     labelled rows that are bad and hold it, its confidence the share of bad among
     the rows that hold it; fewer than `least_rows` bad rows are no evidence. A
     combination is dropped if a part of it is a rule with at least its confidence.
-    No bad rows give no rules.
+    Two steps keep the mining small and lose no rule: of tokens that stand in the
+    same rows, always together, the least by order stands for all; and a token that
+    only bad rows hold is a rule by itself, which no larger one can beat, so it
+    enters no combination. No bad rows give no rules.
     """
     spark = labelled.sparkSession
-    rows = written(labelled.filter(F.size("tokens") > 0).select("tokens", "bad"))
-    n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    rows = labelled.filter(F.size("tokens") > 0)
+    shapes = written(rows.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).withColumn("shape", F.monotonically_increasing_id()))
+    n, bad = shapes.agg(F.sum("n"), F.sum("b")).first()
     schema = "rule_id string, antecedent array<string>, support double, confidence double"
-    least_bad = max(min_support * n, least_rows)
-    if not bad or least_bad > bad:
+    if not bad:
+        return spark.createDataFrame([], schema)
+    least_bad = math.ceil(max(min_support * n, least_rows) - 1e-9)
+    if least_bad > bad:
         return spark.createDataFrame([], schema)
-    least = least_bad / bad
-    sets = FPGrowth(itemsCol="tokens", minSupport=least, minConfidence=1.0).fit(rows.filter("bad").select("tokens")).freqItemsets
-    rules = written(sets.filter(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("antecedent"), "freq").withColumn("rule_id", F.array_join("antecedent", " ")))
-    shapes = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).withColumn("shape", F.monotonically_increasing_id())
-    shapes = written(shapes)
+    each = shapes.select("shape", "n", "b", F.explode("tokens").alias("token"))
+    mark = lambda seed: F.sum(F.xxhash64("shape", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}")
+    seen = each.groupBy("token").agg(F.sum("n").alias("held"), F.sum("b").alias("b"), mark(1), mark(2)).filter(F.col("b") >= least_bad)
+    alone = written(seen.groupBy("held", "b", "s1", "s2").agg(F.min("token").alias("token")).select("token", "held", "b"))
+    # a broadcast of bounded size: with t tokens in a url on average, at most t / min_support tokens are this frequent
+    baskets = each.filter("b > 0").join(F.broadcast(alone.filter("b < held").select("token")), "token").groupBy("shape", "b").agg(F.collect_list("token").alias("items"))
+    baskets = written(baskets)
+    total = baskets.agg(F.sum("b")).first()[0] or 0
+    rules = alone.select(F.array("token").alias("antecedent"))
+    if total >= least_bad:
+        lots = baskets.select("items", "b", F.explode(F.sequence(F.lit(0), F.floor((F.col("b") - 1) / UNFOLD))).alias("k"))
+        every = lots.select("items", F.explode(F.sequence(F.lit(1), F.least(F.lit(UNFOLD), F.col("b") - F.col("k") * UNFOLD))).alias("_")).select("items")
+        sets = FPGrowth(itemsCol="items", minSupport=(least_bad - 0.5) / total, minConfidence=1.0).fit(every).freqItemsets
+        rules = rules.union(sets.filter(F.size("items") > 1).select(F.array_sort("items")))
+    rules = written(rules.withColumn("rule_id", F.array_join("antecedent", " ")))
     held = matches(shapes, rules, "shape").join(shapes.select("shape", "n", "b"), "shape").groupBy("rule_id").agg(F.sum("n").alias("held"), F.sum("b").alias("b"))
     good = held.withColumn("confidence", F.col("b") / F.col("held")).withColumn("support", F.col("b") / F.lit(float(n))).filter((F.col("confidence") >= min_confidence) & (F.col("b") >= least_bad))
     good = written(rules.join(good, "rule_id").select("rule_id", "antecedent", "support", "confidence"))
@@ -110,8 +130,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Rules, min_support: float
     Labels reach a url through the document number that ends its path; a labelled
     url is bad if its quality is 0 or it is toxic. A listed rule decides; else a
     mined rule that fits blocks; else the url is allowed. Null urls and urls
-    without `://` have empty parts and meet no rule. Repeated pages stay
-    repeated, null ids too. Without labels nothing is mined. Columns of either
+    without `://` have empty parts and meet no rule. Urls are read whole, however
+    long. Repeated pages stay repeated, null ids too. Without labels nothing is mined. Columns of either
     table beyond those named are not read.
     """
     urls = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
@@ -127,7 +147,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Rules, min_support: float
 
 
 def oracle(rules: Rules, min_support: float = 0.001, min_confidence: float = 0.5) -> str:
-    """judge() in DuckDB's SQL, counting every combination of the bad urls' tokens; for small tables and ids that do not repeat."""
+    """judge() in DuckDB's SQL, growing every combination of the bad urls' tokens; for small tables and ids that do not repeat."""
     cases, names = [], []
     for action, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         host, path = _split(rule)
@@ -137,11 +157,8 @@ def oracle(rules: Rules, min_support: float = 0.001, min_confidence: float = 0.5
     by, name = (f"CASE {' '.join(c)} END" if c else "CAST(NULL AS VARCHAR)" for c in (cases, names))
     mark = lambda kind, a: f"list_transform({a}, lambda x: '{kind}:' || x)"
     some = lambda a: f"list_filter({a}, lambda x: x <> '')"
-    sets = " UNION ALL ".join(
-        f"SELECT t1.page_id, [{', '.join(f't{i}.token' for i in range(1, k + 1))}] AS items FROM tok t1" + "".join(f" JOIN tok t{i} ON t{i}.page_id = t1.page_id AND t{i}.token > t{i - 1}.token" for i in range(2, k + 1)) for k in range(1, MOST_TOKENS + 1)
-    )
     return f"""
-WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 tk AS (SELECT *, list_distinct(flatten([
     CASE WHEN host = '' THEN []::VARCHAR[] ELSE ['host:' || host] END, {mark("label", some("string_split(host, '.')"))},
@@ -153,9 +170,12 @@ tk AS (SELECT *, list_distinct(flatten([
 marked AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT t.page_id, t.tokens, m.bad FROM tk t JOIN marked m ON m.doc_id = try_cast(regexp_extract(t.path, '/([0-9]{{1,18}})(?:[.][A-Za-z]+)?/?$', 1) AS BIGINT) WHERE len(t.tokens) > 0),
 least AS (SELECT greatest({min_support} * count(*), {LEAST_ROWS}) AS bad FROM lab),
-tok AS (SELECT page_id, unnest(tokens) AS token FROM lab WHERE bad),
-common AS (SELECT token FROM tok GROUP BY token HAVING count(*) >= (SELECT bad FROM least)),
-sets AS (SELECT items, count(*) AS b FROM (SELECT * FROM ({sets.replace("tok t", "(SELECT * FROM tok SEMI JOIN common USING (token)) t")}) s) x GROUP BY items HAVING count(*) >= (SELECT bad FROM least)),
+seen AS (SELECT token, list_sort(list(page_id)) AS held_by FROM (SELECT page_id, unnest(tokens) AS token FROM lab) t GROUP BY token),
+alone AS (SELECT min(token) AS token FROM seen GROUP BY held_by),
+bad_tok AS (SELECT page_id, token FROM (SELECT page_id, unnest(tokens) AS token FROM lab WHERE bad) t SEMI JOIN alone USING (token)),
+tok AS MATERIALIZED (SELECT * FROM bad_tok SEMI JOIN (SELECT token FROM bad_tok GROUP BY token HAVING count(*) >= (SELECT bad FROM least)) c USING (token)),
+grown(page_id, items, last) AS (SELECT page_id, [token], token FROM tok UNION ALL SELECT g.page_id, list_append(g.items, t.token), t.token FROM grown g JOIN tok t ON t.page_id = g.page_id AND t.token > g.last),
+sets AS (SELECT items, count(*) AS b FROM grown GROUP BY items HAVING count(*) >= (SELECT bad FROM least)),
 good AS (SELECT s.items, s.b, count(*) AS held, s.b / count(*) AS confidence FROM sets s JOIN lab l ON list_has_all(l.tokens, s.items) GROUP BY s.items, s.b HAVING s.b / count(*) >= {min_confidence}),
 mined AS (SELECT items, confidence, array_to_string(items, ' ') AS rule_id FROM good g WHERE NOT EXISTS (SELECT 1 FROM good p WHERE len(p.items) < len(g.items) AND list_has_all(g.items, p.items) AND p.confidence >= g.confidence)),
 hits AS (SELECT t.page_id, list_sort(list(DISTINCT m.rule_id)) AS mined, max(m.confidence) AS confidence FROM tk t JOIN mined m ON list_has_all(t.tokens, m.items) GROUP BY t.page_id)

@@ -98,6 +98,14 @@ def test_urls_equal_plain_rules(spark, sf):
         assert r.verdict == (action or ("block" if r.mined else "allow"))
 
 
+def test_deep_urls_are_mined_in_little_time(spark):
+    """Twenty segments that bad urls share in part: the rules are those single tokens, not their combinations."""
+    rows = [([f"dir:{j}" for j in range(20)] + [f"dir:x{k}"], True) for k in range(60)] + [([f"dir:{j}" for j in range(k % 5)], False) for k in range(40)]
+    got = {r.rule_id: r.confidence for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.01, 0.5).collect()}
+    held = {j: 60 / (60 + sum(k % 5 > j for k in range(40))) for j in range(4)}
+    assert got == pytest.approx({"dir:10": 1.0} | {f"dir:{j}": c for j, c in held.items()})
+
+
 def test_mined_rules_equal_counting(spark):
     rng = random.Random(3)
     rows = []
