@@ -6,7 +6,8 @@ such vectors never exceeds the Hamming distance of the fingerprints. The grid
 range-join uses that bound: with the segments dealt to B blocks, two vectors
 within distance r agree on at least B - r whole blocks, so each vector is put
 in one grid cell per choice of B - r blocks and meets there every vector that
-can be in range. Pairs in a cell are then compared bit by bit.
+can be in range. Pairs in a cell are then held against the Manhattan distance itself,
+and those that it does not rule out are compared bit by bit.
 """
 
 from __future__ import annotations
@@ -78,10 +79,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def segment_counts(fp: Column) -> Column:
-    """All 32 segment bit counts, two bits each, in one long."""
+def embedded(fp: Column) -> Column:
+    """The bit counts of all 32 segments in one long, each as two marks: one bit or more, two bits. The marks that two differ in are their Manhattan distance."""
     low, high = fp.bitwiseAND(F.lit(EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(EVEN))
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def marks(x: np.ndarray) -> np.ndarray:
+    """embedded() of fingerprints given as unsigned numbers."""
+    one, even = np.uint64(1), np.uint64(EVEN)
+    low, high = x & even, (x >> one) & even
+    return low | high | ((low & high) << one)
+
+
+def within(x: np.ndarray, m: np.ndarray, at: np.ndarray, to: np.ndarray | int, reach: int) -> np.ndarray:
+    """Which of the places `at` have fingerprints within `reach` bits of those at `to`: the Manhattan distance of the marks m first, a lower bound, then the bits."""
+    to = np.broadcast_to(to, at.shape)
+    ok = np.bitwise_count(m[at] ^ m[to]) <= reach
+    left = np.flatnonzero(ok)
+    ok[left] = np.bitwise_count(x[at[left]] ^ x[to[left]]) <= reach
+    return ok
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +122,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _large_cell(x: np.ndarray, reach: int, ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links inside a large cell as a search forest over `ids`: each value found leaves the set that is still compared."""
     a, b, left = [], [], np.ones(len(x), bool)
-    rest = np.arange(len(x))
+    rest, m = np.arange(len(x)), marks(x)
     stack: list[int] = []
     at = 0
     while len(rest):
@@ -118,7 +135,7 @@ def _large_cell(x: np.ndarray, reach: int, ids: np.ndarray) -> tuple[list[np.nda
             stack.append(at)
             rest = rest[left[rest]]
         k = stack.pop()
-        near = rest[np.bitwise_count(x[rest] ^ x[k]) <= reach]
+        near = rest[within(x, m, rest, k, reach)]
         if len(near):
             left[near] = False
             rest = rest[left[rest]]
@@ -139,9 +156,9 @@ def cell_links(cell: np.ndarray, x: np.ndarray, reach: int) -> tuple[np.ndarray,
         a += p
         b += q
     stop = np.repeat(np.where(size > SMALL_CELL, first, end), size)
-    at, d = np.arange(len(x)), 1
+    at, d, m = np.arange(len(x)), 1, marks(x)
     while len(at := at[at + d < stop[at]]):
-        near = at[np.bitwise_count(x[at] ^ x[at + d]) <= reach]
+        near = at[within(x, m, at, at + d, reach)]
         a.append(x[near])
         b.append(x[near + d])
         d += 1
@@ -156,7 +173,7 @@ def fingerprint_links(prints: DataFrame, reach: int = 4, blocks: int = 7) -> Dat
     costs rows in proportion to its size and loses no connection.
     """
     masks = block_masks(blocks, blocks - reach)
-    keyed = prints.select("fp", segment_counts(F.col("fp")).alias("c")).select("fp", F.posexplode(F.array(*[F.col("c").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "cell"))
+    keyed = prints.select("fp", embedded(F.col("fp")).alias("c")).select("fp", F.posexplode(F.array(*[F.col("c").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "cell"))
     keyed = keyed.repartition("grid", "cell").sortWithinPartitions("grid", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
