@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quaesitor-"))
     return sc.getCheckpointDir()
@@ -43,8 +45,11 @@ def discard(table: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches that stay small with long texts in them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches that stay small with long texts in them; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -12,6 +12,7 @@ whatever the data; the calibration simulates pairs at the threshold itself.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -77,6 +78,8 @@ def calibrate(dim: int, axes: int, cosine: float, least: int = 2, pairs: int = 4
         count += (key_a == key_b) & (np.abs(at_a - at_b) <= window)
         if number % 4 == 0 and (count < least).mean() <= COUNT_LOSS / 2:
             return number, window, int(np.quantile(count, COUNT_LOSS / 2, method="lower"))
+    met = float((count > 0).mean())
+    logging.getLogger(__name__).warning("no count of %d rotations keeps %.1f %% of pairs at cosine %g in %d dimensions; with one collision %.1f %% are kept", 512, 100 * (1 - COUNT_LOSS), cosine, dim, 100 * met)
     return 512, window, 1
 
 

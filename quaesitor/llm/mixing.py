@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 import numpy as np
@@ -65,10 +66,16 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[Target]) -> np.nd
             worst = max(worst, np.abs(factor[want > 0] - 1).max(initial=0.0))
             weight = weight * factor[code]
         if worst < TOLERANCE:
-            break
+            return weight
+    unsettled(worst)
     return weight
 
 
+def unsettled(worst: float) -> None:
+    """Says that the targets can't all be met, or not in ROUNDS rounds: the weights then meet the last dimension's."""
+    logging.getLogger(__name__).warning("raking did not settle in %d rounds: the last one still changed a weight by a factor off 1 by %.3g", ROUNDS, worst)
+
+
 def calibrate(weight: np.ndarray, tokens: np.ndarray, keep: float) -> float:
     """The multiplier m for which the tokens expected under min(1, m x weight) are `keep` of all, or all that can be had."""
     if not len(weight) or not (weight * tokens).sum():
@@ -82,7 +89,7 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, keep: float) -> float:
     return high
 
 
-def _rake_table(cells: DataFrame, dims: list[str], targets: list[Target], rounds: int = 30) -> DataFrame:
+def _rake_table(cells: DataFrame, dims: list[str], targets: list[Target]) -> DataFrame:
     """`cells` with column weight, raked by joins: for more cells than the driver takes."""
     cells = cells.withColumn("tokens", F.col("tokens").cast("double"))
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -97,15 +104,16 @@ def _rake_table(cells: DataFrame, dims: list[str], targets: list[Target], rounds
         scale = float(want.agg(F.sum("want")).first()[0] or 1.0)
         wants.append(written(want.withColumn("want", F.col("want") * (total / scale))))
     now = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         worst = 0.0
         for d, want in zip(dims, wants):
             have = now.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have"))
             f = written(have.join(want.withColumnRenamed(d, "_v"), F.col(d).eqNullSafe(F.col("_v"))).select(F.col("_v"), F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias("f")))
             worst = max(worst, float(f.agg(F.max(F.when(F.col("f") > 0, F.abs(F.col("f") - 1)))).first()[0] or 0.0))
-            now = written(now.join(f, F.col(d).eqNullSafe(F.col("_v"))).withColumn("weight", F.col("weight") * F.col("f")).drop("_v", "f"))
+            before, now = now, written(now.join(f, F.col(d).eqNullSafe(F.col("_v"))).withColumn("weight", F.col("weight") * F.col("f")).drop("_v", "f"))
         if worst < TOLERANCE:
-            break
+            return now
+    unsettled(worst)
     return now
 
 
