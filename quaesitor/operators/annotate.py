@@ -177,6 +177,12 @@ def question_answer_signals(units: DataFrame, version: str = "0.2") -> DataFrame
     return _signals(units.select("text_unit_id", "text").filter(ok).withColumns(cols), version)
 
 
+def unit_page(units: DataFrame, after: str | None, size: int) -> DataFrame:
+    """The next `size` units behind an id, in order, with nothing but id and text: a scan that can be taken up where it ended."""
+    rows = units.select("text_unit_id", "text")
+    return (rows if after is None else rows.filter(F.col("text_unit_id") > after)).orderBy("text_unit_id").limit(size)
+
+
 class Annotator(Protocol):
     """A layer: reads units (text_unit_id, text) and returns signals; it must not fail on any text."""
 

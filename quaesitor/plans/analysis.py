@@ -71,11 +71,6 @@ BODIES: dict[str, str] = {
     "q505_rule_precision": f"WITH {LABELLED} SELECT rule_id, count(*) AS size, round(avg(CAST(yes AS DOUBLE)), 4) AS prec, CASE WHEN avg(CAST(yes AS DOUBLE)) >= 0.70 THEN 'promote' ELSE 'keep' END AS advice FROM labelled GROUP BY rule_id",
     "q506_recall": f"WITH {FLAGS}, c AS (SELECT CAST(sum(CASE WHEN marker AND clf THEN 1 ELSE 0 END) AS DOUBLE) AS both_n, CAST(sum(CASE WHEN NOT marker AND clf THEN 1 ELSE 0 END) AS DOUBLE) AS clf_only FROM per_unit), m AS (SELECT avg(CASE WHEN confidence >= 0.75 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS miss FROM verdicts WHERE label = 1) SELECT round(c.both_n / (c.both_n + c.clf_only * m.miss), 4) AS recall FROM c CROSS JOIN m",
     "q507_promotions": f"WITH {LABELLED}, p AS (SELECT rule_id FROM labelled GROUP BY rule_id HAVING avg(CAST(yes AS DOUBLE)) >= 0.70) SELECT s.signal_id, CASE WHEN p.rule_id IS NOT NULL THEN 'active' ELSE s.status END AS status FROM signals s LEFT JOIN p ON p.rule_id = s.rule_id",
-    "q508_false_negatives": f"""WITH c AS (SELECT v.text_unit_id, max(v.confidence) AS confidence, count(DISTINCT nk.layer) AS layers FROM verdicts v JOIN nk ON nk.text_unit_id = v.text_unit_id WHERE v.label = 0 GROUP BY v.text_unit_id HAVING count(DISTINCT nk.layer) >= 2)
-      SELECT c.text_unit_id, {ARENA} AS origin, u.author_login, c.confidence, c.layers,
-        (SELECT count(*) FROM signals s WHERE s.text_unit_id = c.text_unit_id AND s.layer = 'lexical') AS n_lexical, (SELECT count(*) FROM signals s WHERE s.text_unit_id = c.text_unit_id AND s.layer = 'morpho_syntactic') AS n_morpho,
-        (SELECT count(*) FROM signals s WHERE s.text_unit_id = c.text_unit_id AND s.layer = 'rhetorical') AS n_rhetorical, (SELECT count(*) FROM signals s WHERE s.text_unit_id = c.text_unit_id AND s.layer = 'word_formation') AS n_affix
-      FROM c JOIN text_units u ON u.text_unit_id = c.text_unit_id ORDER BY c.layers DESC, c.confidence DESC, c.text_unit_id LIMIT 50""",
     "q509_flat_lists": "SELECT text_unit_id, SET_OF(CASE WHEN layer = 'lexical' THEN lemma END) AS lexical, SET_OF(CASE WHEN layer = 'rhetorical' THEN rule_id END) AS figures, SET_OF(CASE WHEN layer = 'word_formation' THEN lemma END) AS affixes FROM signals GROUP BY text_unit_id",
     "q510_diversity": "SELECT v.text_unit_id, v.label, v.confidence, count(DISTINCT s.layer) AS layer_diversity FROM verdicts v JOIN text_units u ON u.text_unit_id = v.text_unit_id LEFT JOIN signals s ON s.text_unit_id = v.text_unit_id GROUP BY v.text_unit_id, v.label, v.confidence",
     "q511_ambiguity": "SELECT v.text_unit_id, v.confidence, count(DISTINCT s.category) AS categories FROM verdicts v JOIN signals s ON s.text_unit_id = v.text_unit_id WHERE v.confidence < 0.6 GROUP BY v.text_unit_id, v.confidence HAVING count(DISTINCT s.polarity) >= 2",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import annotate, units
-from . import analysis, duck, fixture, steps
+from . import analysis, checks, duck, fixture, steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,6 @@ def oracle_sql() -> dict[str, str]:
     out = {"p05_text_units": base + "SELECT * FROM text_units", "a02_signals": base + "SELECT * FROM signals"}
     out |= steps.oracle_sql()
     for name, body in analysis.BODIES.items():
-        body = analysis.render(body, "duck")
+        body = checks.BODIES.get(name) or analysis.render(body, "duck")
         out[name] = base + ("," + body.removeprefix("WITH") if body.startswith("WITH ") else body)
     return out

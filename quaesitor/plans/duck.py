@@ -10,6 +10,16 @@ from .fixture import CUES, N
 
 W = r"[ \t\n\r\f\v]"
 TOKEN = T.TOKEN.replace(r"\x0B", r"\v")
+#: What cleaning removes, in its order, in this engine's patterns.
+CLEANED = (
+    ("<!--(?:.|\n)*?-->", "''"),
+    ("```(?:.|\n)*?```", "''"),
+    ("`[^`\n]+`", "''"),
+    ("(?m)^>.*$", "''"),
+    (r"!\[[^]]*\]\([^)]*\)", "''"),
+    (r"@[\pL\pN_]+", "''"),
+    ("\n\n\n+", "chr(10) || chr(10)"),
+)
 
 
 def q(x: str | None) -> str:
@@ -26,9 +36,8 @@ def trim(x: str) -> str:
 
 def strip_steps(x: str) -> list[str]:
     out, now = [], f"coalesce({x}, '')"
-    for pattern, to in T.STRIP:
-        to = "chr(10) || chr(10)" if to else "''"
-        now = f"regexp_replace({now}, {q(pattern.replace('(?md)', '(?m)'))}, {to}, 'g')"
+    for pattern, to in CLEANED:
+        now = f"regexp_replace({now}, {q(pattern)}, {to}, 'g')"
         out.append(now)
     return out
 
@@ -133,7 +142,7 @@ all_signals AS (
 signals AS (SELECT text_unit_id || '::' || rule_id || '::' || span_start AS signal_id, text_unit_id, layer, category, subcategory, substring(text, span_start + 1, span_end - span_start) AS surface_form, span_start, span_end, rule_id, '{version}' AS rule_version, weight, status, lemma, pos, polarity FROM all_signals JOIN (SELECT text_unit_id, text FROM text_units) t USING (text_unit_id)),
 verdicts AS (SELECT CASE kind WHEN 0 THEN 'issue:' || source || ':' || doc_id || ':body' WHEN 1 THEN 'pr:' || source || ':' || doc_id || ':body' WHEN 2 THEN 'commit:' || sha || ':commit_message' ELSE 'email:urn:' || doc_id || ':paragraph:1' END AS text_unit_id,
     'hand' AS model_id, '1' AS model_version, CAST(quality AS INTEGER) AS label, CAST(0.5 + (doc_id % 50) / 100 AS DOUBLE) AS confidence FROM docs JOIN labels USING (doc_id)),
-nk AS (SELECT * FROM signals WHERE layer <> 'classifier' AND status = 'active' AND coalesce(subcategory, '') NOT IN ({', '.join(map(q, rules.certainty_subcategories('0.2')))})),
+nk AS (SELECT * FROM signals WHERE layer <> 'classifier' AND status = 'active' AND coalesce(subcategory, '') NOT IN ('booster', 'privative_certainty')),
 replies AS (SELECT r.urn AS reply, p.urn AS parent FROM mails r JOIN mails p ON r.in_reply_to = p.message_id AND r.urn <> p.urn),
 refs AS (SELECT text_unit_id, parent_id, parent_number, repo, CAST(unnest(range(0, len(ns))) AS INTEGER) AS place, CAST(unnest(ns) AS BIGINT) AS number,
     coalesce({mechanisms}[lower(unnest(ms))], 'bare') AS mechanism FROM (SELECT *, regexp_extract_all(text, {q(T.REFERENCE.replace(chr(92) + "x0B", chr(92) + "v"))}, 2) AS ns, regexp_extract_all(text, {q(T.REFERENCE.replace(chr(92) + "x0B", chr(92) + "v"))}, 1) AS ms

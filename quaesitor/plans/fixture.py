@@ -8,33 +8,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CUES = [
-    "There is genuine doubt about this behaviour.",
-    "I'm not sure it is closed, see #12 and fixes #7.",
-    "The root cause is completely unknown to us.",
-    "We can't reproduce this on our machines.",
-    "This might be a race condition, but perhaps not.",
-    "The specification is ambiguous and vague, and undocumented.",
-    "It seems to only happen under load; apparently a heisenbug.",
-    "Why does this fail? It seems related to the kernel version.",
-    "This is a clear blind spot for the team.",
-    "There is a knowledge gap in the documentation.",
-    "I don't really know what to do @reviewer.",
-    "I think it should be fixed, maybe it is flaky.",
-    "The team was helpless without the logs.",
-    "This is a questionable design decision, a black box.",
-    "All tests pass on the main branch.",
-    "Obviously the fix is correct, of course, closes #30.",
-    "We have no idea whether the index is used.",
-    "The change is error-free and was never tested.",
-    "This feels like a kind of race condition, right?",
-    "I wonder whether `code` matters.\n> quoted line\nThe rest is uncharted territory.",
-    "We will never know; the fix has not landed yet.",
-    "As far as I know the tip of the iceberg is undefined behaviour.",
-    "There is a lack of tests, TODO resolve #5.",
-    "Nobody reads this ![img](a.png) <!-- hidden --> text.",
-    "However it must be a bug, or something.",
-    "The fix was merged into main yesterday.",
-    "It is hard to tell, who knows, works on my machine.",
+    "Some doubt is left over the retry logic here.",
+    "I'm not sure the ticket may be shut, see #12 and fixes #7.",
+    "What makes the cache drop rows is unknown so far.",
+    "On arm we can't reproduce it, nor on the spare box.",
+    "A stale lock might explain this, but perhaps there is more to it.",
+    "That paragraph is vague and ambiguous, and the flag is undocumented.",
+    "It seems to need heavy traffic; apparently we hunt a heisenbug.",
+    "Why is the upload cut off? It seems tied to the proxy.",
+    "Error paths are a blind spot of this suite.",
+    "Our notes have a knowledge gap about the scheduler.",
+    "I don't know which node wrote it @reviewer.",
+    "I think the parser is at fault, maybe the lexer as well.",
+    "Without a core dump the on-call was helpless.",
+    "A questionable default, and the vendor library is a black box.",
+    "The nightly build went green on the release branch.",
+    "Obviously the guard belongs there, of course, closes #30.",
+    "We have no idea who calls this endpoint.",
+    "The port is error-free but was never profiled.",
+    "This feels like a kind of starvation, right?",
+    "I wonder whether `flush` runs.\n> a quoted remark\nBeyond that it is uncharted ground.",
+    "The vendor will never know; their patch has not shipped yet.",
+    "As far as I know this is the tip of the iceberg, undefined behaviour aside.",
+    "There is a lack of fixtures, TODO resolve #5.",
+    "Few read the appendix ![plot](b.svg) <!-- a note --> below.",
+    "However it must be the locale, or something.",
+    "The revert went into the stable line this morning.",
+    "It is hard to tell, who knows, it works on my machine.",
 ]
 N = len(CUES)
 

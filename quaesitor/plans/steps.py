@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import annotate, dispatch, eda, graph, rules, stats, units
 from ..sources import landing
 from ..streaming import pipeline as stream
-from . import duck, fixture
+from . import checks, duck, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -292,6 +292,61 @@ def two_stage_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/signals").groupBy("layer").agg(F.count("*").alias("n"))
 
 
+#: For each layer its list column in the report of false negatives, and the fields of its entries.
+LISTS = {
+    "lexical": ("lexical_markers", ("rule_id", "surface_form", "lemma", "category", "polarity")),
+    "morpho_syntactic": ("morph_signals", ("category", "subcategory", "rule_id", "surface_form")),
+    "word_formation": ("word_formation_signals", ("category", "subcategory", "rule_id", "surface_form")),
+    "rhetorical": ("rhetorical_signals", ("rule_id", "category", "subcategory", "surface_form")),
+}
+
+
+def false_negatives(spark, sf_dir, least_layers: int = 2, limit: int = 50):
+    """Units of label 0 in which two layers or more fire, the most layers and the surest verdicts first, with the distinct signals of each layer.
+
+    The units are chosen before their lists are gathered, so lists are made for
+    `limit` units only, and these are few enough to broadcast. A layer without signals has an empty list.
+    """
+    from . import catalogue
+
+    catalogue.views(spark, sf_dir)
+    s = spark.table("signals").filter(F.col("layer").isin(*LISTS))
+    v = spark.table("verdicts").filter("label = 0").groupBy("text_unit_id").agg(F.max("confidence").alias("confidence"))
+    fired = s.groupBy("text_unit_id").agg(F.count_distinct("layer").alias("layer_count")).filter(F.col("layer_count") >= least_layers)
+    units_ = spark.table("text_units")
+    first = v.join(fired, "text_unit_id").join(units_.select("text_unit_id"), "text_unit_id", "left_semi").orderBy(F.desc("layer_count"), F.desc("confidence"), "text_unit_id").limit(limit)
+    entry = lambda fields: F.concat_ws("|", *fields)
+    lists = s.join(F.broadcast(first.select("text_unit_id")), "text_unit_id").groupBy("text_unit_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("layer") == layer, entry(fields)))).alias(name) for layer, (name, fields) in LISTS.items()])
+    u = units_.join(F.broadcast(first), "text_unit_id")
+    key = F.split("parent_id", ":")
+    ref = F.when(F.col("parent_type") == "commit", F.left(key[1], F.lit(8))).when(F.col("parent_type") != "email", F.get(key, F.lit(2)))
+    repo = F.when(F.col("parent_type") == "email", "(comment)").otherwise(F.col("repo"))
+    out = u.select("text_unit_id", repo.alias("repo"), "parent_type", ref.alias("parent_ref"), "role", "position", "author_login", "confidence", "layer_count").join(lists, "text_unit_id")
+    return out.orderBy(F.desc("layer_count"), F.desc("confidence"), "text_unit_id")
+
+
+def set_sizes(spark, sf_dir):
+    """How many distinct signals, as structs, a unit has in each layer."""
+    from . import catalogue
+
+    catalogue.views(spark, sf_dir)
+    return spark.table("signals").groupBy("text_unit_id", "layer").agg(F.size(F.collect_set(F.struct("category", "subcategory", "rule_id", "surface_form"))).cast("long").alias("n"))
+
+
+def chi_square_p(spark, sf_dir):
+    """The chi-square of q602 with its p-value."""
+    from . import catalogue
+
+    t = catalogue.queries()["q602_chi_square"](spark, sf_dir)
+    p = F.udf(lambda x, dof: None if x is None or not dof else float(stats.chi_square_p(x, int(dof))), "double")  # one row
+    return t.withColumn("p_value", p("chi_square", "dof"))
+
+
+def page_of_units(spark, sf_dir):
+    """A page of units by key: those after an id, in order."""
+    return annotate.unit_page(_text_units(spark, sf_dir), "issue:src1", 200)
+
+
 E_COLS = {"pct": lambda part, whole: f"coalesce(round(100.0::DOUBLE * ({part}) / nullif({whole}, 0), 1), 0)"}
 
 
@@ -420,6 +475,10 @@ STEPS: dict[str, tuple[Query, Callable[[], str] | None]] = {
     "m18_edge_counts": (lambda spark, sf_dir: dispatch.edges(records(spark, sf_dir)).groupBy("type", F.substring_index("dst", ":", 1).alias("kind")).agg(F.count("*").alias("n")), lambda: duck.base() + f", actors AS ({ACTORS_SQL}), k AS (SELECT *, CASE kind WHEN 0 THEN 'issue' WHEN 1 THEN 'pr' WHEN 2 THEN 'commit' ELSE 'email' END AS to_kind, CASE kind WHEN 2 THEN CASE WHEN doc_id % 5 <> 0 THEN author END WHEN 3 THEN CASE WHEN doc_id % 41 = 0 THEN 'jenkins@ci' ELSE author END ELSE author END AS login FROM docs) SELECT 'CONTAINS' AS type, to_kind AS kind, count(*) AS n FROM k GROUP BY to_kind UNION ALL SELECT 'AUTHORED', to_kind, count(*) FROM k WHERE login IN (SELECT login FROM actors) GROUP BY to_kind"),
     "q402_unit_clusters": (unit_clusters, None),
     "q403_cluster_profile": (cluster_profile, None),
+    "q508_false_negatives": (false_negatives, lambda: duck.base() + checks.FALSE_NEGATIVES),
+    "g06_struct_sets": (set_sizes, lambda: duck.base() + checks.SET_SIZES),
+    "q602b_p_value": (chi_square_p, None),
+    "s16_unit_page": (page_of_units, lambda: duck.base() + "SELECT text_unit_id, text FROM text_units WHERE text_unit_id > 'issue:src1' ORDER BY text_unit_id LIMIT 200"),
     "q404_exemplars": (cluster_exemplars, None),
     "w03_top_and_random": (layer_exemplars, lambda: duck.base() + LAYER_EXEMPLARS_SQL),
     "t03_two_stage_stream": (two_stage_stream, lambda: duck.base() + "SELECT layer, count(*) AS n FROM signals GROUP BY layer"),

@@ -5,38 +5,38 @@ import pytest
 from quaesitor.operators import annotate, rules
 
 GOLDEN = {
-    "There is genuine doubt about this behaviour.": ({"lex.doubt_n"}, {"lex.doubt_v"}),
-    "I doubt it works.": ({"lex.doubt_v"}, {"lex.doubt_n"}),
-    "The root cause is completely unknown to us.": ({"lex.unknown"}, set()),
-    "The specification is ambiguous and vague.": ({"lex.ambiguous", "lex.vague"}, set()),
-    "This is a clear blind spot for the team.": ({"lex.blind_spot", "rhetor.metaphor.visibility.blind_spot"}, set()),
-    "There is a knowledge gap in the documentation.": ({"lex.knowledge_gap", "rhetor.metaphor.gap.knowledge_gap"}, set()),
-    "Several issues remain unresolved after the sprint.": ({"lex.unresolved"}, set()),
-    "There is a lack of documentation for this API.": ({"lex.lack_of"}, set()),
-    "We can't reproduce this on our machines.": ({"lex.cannot_reproduce", "morph.neg.bare_modifier"}, set()),
-    "I never saw this error before the last release.": ({"morph.neg.bare_modifier"}, set()),
-    "This might be a race condition.": ({"morph.mod.epistemic_maymight"}, set()),
-    "We should fix the root cause, not the symptom.": ({"morph.mod.deontic"}, set()),
-    "It seems to only happen under load.": ({"morph.evid.inferential_seem"}, set()),
-    "Perhaps the timeout is too short.": ({"morph.hedge.adverbial_perhaps"}, set()),
-    "This is kind of hard to reproduce.": ({"morph.hedge.approximator_kind_of"}, set()),
-    "I tried the workaround but the issue persists.": ({"morph.syn.adversative"}, set()),
-    "Why does this only happen on Linux? It seems related to the kernel version.": ({"morph.syn.question_answer"}, set()),
-    "The behaviour is unclear and unreliable.": ({"affix.prefix.un"}, set()),
-    "The team was helpless without the logs.": ({"affix.suffix.less"}, set()),
-    "This is a questionable design decision.": ({"affix.suffix.able"}, set()),
-    "The interface is fine.": (set(), {"affix.prefix.in"}),
-    "The internal input index is fine.": (set(), {"affix.prefix.in"}),
-    "This is completely uncharted territory for us.": ({"rhetor.metaphor.spatial.uncharted"}, set()),
-    "This feels like a kind of race condition.": ({"rhetor.comparison.something_like"}, set()),
-    "I do not really understand it.": ({"morph.epi.neg_cognition"}, set()),
-    "I think it works.": ({"morph.hedge.shield_think"}, set()),
-    "It has not landed yet.": ({"morph.tense.past_nk_notyet"}, set()),
+    "A lasting doubt hangs over the retry path.": ({"lex.doubt_n"}, {"lex.doubt_v"}),
+    "I doubt that patch.": ({"lex.doubt_v"}, {"lex.doubt_n"}),
+    "Who set the flag is unknown.": ({"lex.unknown"}, set()),
+    "Both clauses are vague and ambiguous.": ({"lex.ambiguous", "lex.vague"}, set()),
+    "Error paths are one blind spot here.": ({"lex.blind_spot", "rhetor.metaphor.visibility.blind_spot"}, set()),
+    "Our notes have a knowledge gap.": ({"lex.knowledge_gap", "rhetor.metaphor.gap.knowledge_gap"}, set()),
+    "Two conflicts stay unresolved.": ({"lex.unresolved"}, set()),
+    "We see a lack of examples.": ({"lex.lack_of"}, set()),
+    "On arm we can't reproduce it.": ({"lex.cannot_reproduce", "morph.neg.bare_modifier"}, set()),
+    "It never hung on the old kernel.": ({"morph.neg.bare_modifier"}, set()),
+    "A stale lock might explain it.": ({"morph.mod.epistemic_maymight"}, set()),
+    "You should pin that version.": ({"morph.mod.deontic"}, set()),
+    "It seems to need heavy traffic.": ({"morph.evid.inferential_seem"}, set()),
+    "Perhaps a larger buffer helps.": ({"morph.hedge.adverbial_perhaps"}, set()),
+    "The log is kind of noisy.": ({"morph.hedge.approximator_kind_of"}, set()),
+    "The patch applies but the build hangs.": ({"morph.syn.adversative"}, set()),
+    "Which node wrote it? The third one had the lease.": ({"morph.syn.question_answer"}, set()),
+    "That flag is unclear and unreliable.": ({"affix.prefix.un"}, set()),
+    "On-call was helpless that night.": ({"affix.suffix.less"}, set()),
+    "What a questionable default.": ({"affix.suffix.able"}, set()),
+    "Our interface stays.": (set(), {"affix.prefix.in"}),
+    "An internal input index stays.": (set(), {"affix.prefix.in"}),
+    "Beyond that it is uncharted ground.": ({"rhetor.metaphor.spatial.uncharted"}, set()),
+    "It feels like starvation.": ({"rhetor.comparison.something_like"}, set()),
+    "I do not fully understand that lock.": ({"morph.epi.neg_cognition"}, set()),
+    "I think the lexer broke.": ({"morph.hedge.shield_think"}, set()),
+    "Their patch has not shipped yet.": ({"morph.tense.past_nk_notyet"}, set()),
     "TODO here": ({"lex.todo"}, set()),
     "todo here": (set(), {"lex.todo"}),
     "don't know": ({"lex.dont_know"}, set()),
 }
-SILENT = ["The implementation works correctly.", "All tests pass on the main branch.", "The fix was merged into main yesterday."]
+SILENT = ["The port runs well.", "The nightly build went green.", "The revert went into the stable line."]
 
 
 @pytest.fixture(scope="module")
