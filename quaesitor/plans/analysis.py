@@ -69,14 +69,14 @@ BODIES: dict[str, str] = {
     "q503_clf_only_sample": "SELECT v.text_unit_id, max(v.confidence) AS confidence FROM verdicts v JOIN text_units u ON u.text_unit_id = v.text_unit_id LEFT ANTI JOIN nk ON nk.text_unit_id = v.text_unit_id WHERE v.label = 1 GROUP BY v.text_unit_id ORDER BY md5(v.text_unit_id), v.text_unit_id LIMIT 100",
     "q504_rule_samples": "WITH f AS (SELECT rule_id FROM signals GROUP BY rule_id HAVING count(*) >= 100), r AS (SELECT s.rule_id, s.signal_id, s.surface_form, row_number() OVER (PARTITION BY s.rule_id ORDER BY md5(s.signal_id), s.signal_id) AS k FROM signals s JOIN f ON f.rule_id = s.rule_id) SELECT rule_id, signal_id, surface_form FROM r WHERE k <= 50",
     "q505_rule_precision": f"WITH {LABELLED} SELECT rule_id, count(*) AS size, round(avg(CAST(yes AS DOUBLE)), 4) AS prec, CASE WHEN avg(CAST(yes AS DOUBLE)) >= 0.70 THEN 'promote' ELSE 'keep' END AS advice FROM labelled GROUP BY rule_id",
-    "q506_recall": f"WITH {FLAGS}, c AS (SELECT CAST(sum(CASE WHEN marker AND clf THEN 1 ELSE 0 END) AS DOUBLE) AS both_n, CAST(sum(CASE WHEN NOT marker AND clf THEN 1 ELSE 0 END) AS DOUBLE) AS clf_only FROM per_unit), m AS (SELECT avg(CASE WHEN confidence >= 0.75 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS miss FROM verdicts WHERE label = 1) SELECT round(c.both_n / (c.both_n + c.clf_only * m.miss), 4) AS recall FROM c CROSS JOIN m",
+    "q506_recall": f"WITH {FLAGS}, c AS (SELECT CAST(sum(CASE WHEN marker AND clf THEN 1 ELSE 0 END) AS DOUBLE) AS both_n, CAST(sum(CASE WHEN NOT marker AND clf THEN 1 ELSE 0 END) AS DOUBLE) AS clf_only FROM per_unit), m AS (SELECT avg(CASE WHEN confidence >= 0.75 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS miss FROM verdicts WHERE label = 1) SELECT round(both_n / (both_n + clf_only * (SELECT miss FROM m)), 4) AS recall FROM c",
     "q507_promotions": f"WITH {LABELLED}, p AS (SELECT rule_id FROM labelled GROUP BY rule_id HAVING avg(CAST(yes AS DOUBLE)) >= 0.70) SELECT s.signal_id, CASE WHEN p.rule_id IS NOT NULL THEN 'active' ELSE s.status END AS status FROM signals s LEFT JOIN p ON p.rule_id = s.rule_id",
     "q509_flat_lists": "SELECT text_unit_id, SET_OF(CASE WHEN layer = 'lexical' THEN lemma END) AS lexical, SET_OF(CASE WHEN layer = 'rhetorical' THEN rule_id END) AS figures, SET_OF(CASE WHEN layer = 'word_formation' THEN lemma END) AS affixes FROM signals GROUP BY text_unit_id",
     "q510_diversity": "SELECT v.text_unit_id, v.label, v.confidence, count(DISTINCT s.layer) AS layer_diversity FROM verdicts v JOIN text_units u ON u.text_unit_id = v.text_unit_id LEFT JOIN signals s ON s.text_unit_id = v.text_unit_id GROUP BY v.text_unit_id, v.label, v.confidence",
     "q511_ambiguity": "SELECT v.text_unit_id, v.confidence, count(DISTINCT s.category) AS categories FROM verdicts v JOIN signals s ON s.text_unit_id = v.text_unit_id WHERE v.confidence < 0.6 GROUP BY v.text_unit_id, v.confidence HAVING count(DISTINCT s.polarity) >= 2",
     # arenas and communities
     "q601_layer_mix": f"WITH {MIX} SELECT arena, layer, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY arena), 3) AS share FROM mix",
-    "q602_chi_square": f"WITH {MIX}, cells AS (SELECT a.arena, l.layer, CAST(coalesce(m.n, 0) AS DOUBLE) AS n FROM (SELECT DISTINCT arena FROM mix) a CROSS JOIN (SELECT DISTINCT layer FROM mix) l LEFT JOIN mix m ON m.arena = a.arena AND m.layer = l.layer), e AS (SELECT n, sum(n) OVER (PARTITION BY arena) * sum(n) OVER (PARTITION BY layer) / sum(n) OVER () AS x, sum(n) OVER () AS total FROM cells) SELECT round(sum((n - x) * (n - x) / x), 6) AS chi_square, (SELECT (count(DISTINCT arena) - 1) * (count(DISTINCT layer) - 1) FROM cells) AS dof, round(sqrt(sum((n - x) * (n - x) / x) / max(total)), 6) AS cramers_v FROM e",
+    "q602_chi_square": f"WITH {MIX}, c AS (SELECT arena, layer, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY arena) AS DOUBLE) AS r, CAST(sum(n) OVER (PARTITION BY layer) AS DOUBLE) AS k, CAST(sum(n) OVER () AS DOUBLE) AS total FROM mix), s AS (SELECT max(total) * (sum(n * n / (r * k)) - 1) AS x, max(total) AS total, count(DISTINCT arena) - 1 AS rows_less_1, count(DISTINCT layer) - 1 AS columns_less_1 FROM c) SELECT round(x, 6) AS chi_square, rows_less_1 * columns_less_1 AS dof, round(sqrt(x / total), 6) AS cramers_v FROM s",
     "q603_registers": f"WITH t AS (SELECT {ARENA} AS arena, count(*) AS total FROM text_units u GROUP BY 1), g AS (SELECT {ARENA} AS arena, CASE WHEN s.subcategory IN ('repro_gap', 'spec_gap') THEN 'task_register' ELSE 'discursive_register' END AS marker_group, count(DISTINCT u.text_unit_id) AS units FROM text_units u JOIN signals s ON s.text_unit_id = u.text_unit_id WHERE s.status = 'active' AND (s.category = 'hedging' OR s.layer = 'rhetorical' OR s.subcategory IN ('repro_gap', 'spec_gap')) GROUP BY 1, 2) SELECT g.arena, g.marker_group, g.units, round(CAST(1000 AS DOUBLE) * g.units / t.total, 2) AS rate_per_1k FROM g JOIN t ON t.arena = g.arena",
     "q604_signatures": "WITH f AS (SELECT u.repo AS source, concat(nk.layer, '.', nk.category) AS feature, count(*) AS n FROM text_units u JOIN nk ON nk.text_unit_id = u.text_unit_id GROUP BY u.repo, concat(nk.layer, '.', nk.category)) SELECT source, feature, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source), 3) AS share FROM f",
     "q605_thread_position": "WITH p AS (SELECT u.text_unit_id, CASE WHEN r.reply IS NOT NULL THEN 'reply' ELSE 'thread_opener' END AS position FROM text_units u LEFT JOIN (SELECT DISTINCT concat('email:', reply) AS reply FROM replies) r ON r.reply = u.parent_id WHERE u.parent_type = 'email') SELECT p.position, count(DISTINCT p.text_unit_id) AS units, count(DISTINCT nk.text_unit_id) AS nk_units, round(CAST(count(DISTINCT nk.text_unit_id) AS DOUBLE) / count(DISTINCT p.text_unit_id), 3) AS nk_rate FROM p LEFT JOIN nk ON nk.text_unit_id = p.text_unit_id GROUP BY p.position",

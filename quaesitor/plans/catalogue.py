@@ -21,8 +21,12 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def _shared(spark: SparkSession, sf_dir: str, name: str, make: Query) -> DataFrame:
-    """A base relation that many queries read, kept by the session; what an executor loses is made again from its lineage."""
+    """A base relation that many queries read, kept while the session's queries are over the same tables; what an executor loses is made again from its lineage."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    for other in [k for k in _kept if k[:2] != key[:2]]:
+        df = _kept.pop(other)
+        if other[0] == key[0]:
+            df.unpersist()
     if key not in _kept:
         _kept[key] = make(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     return _kept[key]

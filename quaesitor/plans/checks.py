@@ -33,6 +33,7 @@ BODIES: dict[str, str] = {
         (SELECT count(*) FILTER (confidence >= 0.75)::DOUBLE / count(*) FROM verdicts WHERE label = 1) AS m) t""",
     "q601_layer_mix": f"""SELECT arena, layer, n, round(n::DOUBLE / t, 3) AS share FROM (SELECT {ARENA} AS arena, s.layer, count(*) AS n FROM signals s JOIN text_units u USING (text_unit_id) WHERE {EVIDENCE} GROUP BY ALL) a
         JOIN (SELECT {ARENA} AS arena, count(*) AS t FROM signals s JOIN text_units u USING (text_unit_id) WHERE {EVIDENCE} GROUP BY ALL) b USING (arena)""",
+    "q602_chi_square": f"""WITH mix AS (SELECT {ARENA} AS arena, s.layer, count(*) AS n FROM signals s JOIN text_units u USING (text_unit_id) WHERE {EVIDENCE} GROUP BY ALL), cells AS (SELECT a.arena, l.layer, CAST(coalesce(m.n, 0) AS DOUBLE) AS n FROM (SELECT DISTINCT arena FROM mix) a CROSS JOIN (SELECT DISTINCT layer FROM mix) l LEFT JOIN mix m ON m.arena = a.arena AND m.layer = l.layer), e AS (SELECT n, sum(n) OVER (PARTITION BY arena) * sum(n) OVER (PARTITION BY layer) / sum(n) OVER () AS x, sum(n) OVER () AS total FROM cells) SELECT round(sum((n - x) * (n - x) / x), 6) AS chi_square, (SELECT (count(DISTINCT arena) - 1) * (count(DISTINCT layer) - 1) FROM cells) AS dof, round(sqrt(sum((n - x) * (n - x) / x) / max(total)), 6) AS cramers_v FROM e""",
     "q605_thread_position": f"""SELECT if(reply, 'reply', 'thread_opener') AS position, count(*) AS units, count(*) FILTER (nk) AS nk_units, round(count(*) FILTER (nk)::DOUBLE / count(*), 3) AS nk_rate FROM
         (SELECT EXISTS (SELECT 1 FROM mails m JOIN mails p ON p.message_id = m.in_reply_to AND p.urn <> m.urn WHERE 'email:' || m.urn = u.parent_id) AS reply, u.text_unit_id IN (SELECT s.text_unit_id FROM signals s WHERE {EVIDENCE}) AS nk FROM text_units u WHERE {MAILED}) t GROUP BY ALL""",
     "f06_linked_pulls": """SELECT text_unit_id FROM text_units WHERE coalesce(parent_type, '') <> 'pull_request' OR EXISTS
