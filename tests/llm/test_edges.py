@@ -130,3 +130,18 @@ def test_decontamination(messy, none, bench):
     assert decontaminate.flagged(none, bench).count() == 0 and not decontaminate.flagged(messy, bench.filter("false")).filter("contaminated").count()
     kept = decontaminate.cleaned(messy, bench)
     assert kept.columns == messy.columns and 1 not in [r.doc_id for r in kept.collect()] and kept.count() == len(ROWS) - 2
+
+
+def test_pipeline_stages(spark, messy, none, sf):
+    import corpus_pipeline
+
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, messy, sf)
+        assert out.columns == messy.columns and stage(spark, none, sf).count() == 0
+        left[name] = [r.doc_id for r in out.collect()]
+        assert len(left[name]) <= len(ROWS)
+    assert sorted(i or 0 for i in left["simhash_near_dedup"]) == [0, 1, 1, 2, 5, 6]
+    assert len(left["benchmark_decontamination"]) == len(ROWS)  # no item of the benchmark is in them
+    assert corpus_pipeline.STAGES[-1][1](spark, messy, sf).count() == len(ROWS)
+    assert corpus_pipeline.STAGES[-1][1](spark, none, sf).count() == 0
