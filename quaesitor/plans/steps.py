@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import annotate, dispatch, eda, graph, rules, stats, units
-from ..sources import landing
+from ..sources import landing, publish
 from ..streaming import pipeline as stream
 from . import checks, duck, fixture
 
@@ -395,6 +395,27 @@ def edge_sql(table: str, src: str, dst: str, login: str) -> Callable[[], str]:
     return lambda: duck.base() + f", actors AS ({ACTORS_SQL}) SELECT 'CONTAINS' AS type, {src} AS src, {dst} AS dst FROM {table} UNION ALL SELECT 'AUTHORED', {login}, {dst} FROM {table} WHERE {login} IN (SELECT login FROM actors)"
 
 
+def saved(spark, sf_dir):
+    """A batch of all records over a store of every other issue: one row per key, with what the batch brought."""
+    r = records(spark, sf_dir)
+    store = publish.keyed(r.filter("item_type = 'issue'")).filter("item_id % 2 = 0").withColumn("processed", F.lit(True))
+    return publish.save(store, r.union(r)).select("item_type", "item_id", "item_subtype", "repo_name", "processed")
+
+
+def published(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return stream.events(publish.events(r.union(r))).select("item_id", "item_type", "item_subtype", "repo_name", "mongo_id")
+
+
+def file_ordinals(spark, sf_dir):
+    """The bulk pairs with their ordinal in the file."""
+    return bulk_pairs(spark, sf_dir).select("file", "urn", F.row_number().over(Window.partitionBy("file").orderBy("n")).alias("seen"))
+
+
+KEYED_SQL = ", saved AS (SELECT 'issue' AS item_type, CAST(doc_id AS VARCHAR) AS item_id, 'issue' AS item_subtype, source AS repo_name FROM docs WHERE kind < 2 UNION ALL SELECT 'commit', sha, 'commit', source FROM docs WHERE kind = 2) "
+ORDINAL_SQL = "SELECT file, urn FROM (SELECT file, regexp_replace(trim(prev), '^<+|>+$', '', 'g') AS urn, row_number() OVER (PARTITION BY file ORDER BY n) AS seen FROM paired WHERE ok AND action IS NULL AND prev IS NOT NULL) t WHERE "
+
+
 def classified_as(spark, sf_dir):
     """CLASSIFIED_AS edges: verdicts of units that exist."""
     v = fixture.verdicts(spark, sf_dir).join(_text_units(spark, sf_dir).select("text_unit_id"), "text_unit_id", "left_semi")
@@ -446,6 +467,10 @@ STEPS: dict[str, tuple[Query, Callable[[], str] | None]] = {
     "s03_pull_listing": (pull_listing, lambda: duck.base() + "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, doc_id % 3 = 0 AS merged, 1 AS review_comments, 1 AS issue_comments FROM docs WHERE kind = 1"),
     "s04_commit_listing": (lambda spark, sf_dir: fixture.raw_commits(spark, sf_dir).select("sha", F.col("commit.message").alias("message")), lambda: duck.base() + "SELECT sha, body AS message FROM docs WHERE kind = 2"),
     "s05_link_header": (link_header, lambda: "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'https://x/?page=' || (doc_id + 2) END AS next FROM documents"),
+    "s07_saved": (saved, lambda: duck.base() + KEYED_SQL + "SELECT *, false AS processed FROM saved"),
+    "s07b_published": (published, lambda: duck.base() + KEYED_SQL + "SELECT *, sha256(item_type || ':' || item_id) AS mongo_id FROM saved"),
+    "f12b_file_sample": (lambda spark, sf_dir: file_ordinals(spark, sf_dir).filter("seen % 10 = 0").select("file", "urn"), lambda: f"WITH {BULK_SQL.strip()} " + ORDINAL_SQL + "seen % 10 = 0"),
+    "f13b_file_head": (lambda spark, sf_dir: file_ordinals(spark, sf_dir).filter("seen <= 5").select("file", "urn"), lambda: f"WITH {BULK_SQL.strip()} " + ORDINAL_SQL + "seen <= 5"),
     "s08_bulk_pairs": (bulk_pairs, bulk_pairs_sql),
     "s10_scope": (in_scope, lambda: "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'de')"),
     "s11_ingest": (ingest, lambda: bulk_pairs_sql().replace("SELECT file, n, regexp", "SELECT DISTINCT file, regexp").replace(", line AS source FROM", " FROM")),

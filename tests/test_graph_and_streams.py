@@ -178,3 +178,15 @@ def test_clusters_are_where_lloyd_stops(spark):
     centres = np.array([z[label == c].mean(axis=0) for c in range(label.max() + 1)])
     assert (np.argmin(((z[:, None] - centres) ** 2).sum(axis=2), axis=1) == label).all()
     assert set(scores) == set(range(3, 11)) and max(scores, key=scores.get) == 4 == label.max() + 1
+
+
+def test_saved_then_published(spark, tmp_path):
+    from quaesitor.sources import publish
+
+    raw = spark.createDataFrame([("issue", "r", '{"id":1,"pull_request":null}'), ("issue", "r", '{"id":2}'), ("issue", "r", '{"id":2,"x":1}'), ("commit", "r", '{"sha":"a"}'), ("issue", "r", '{"id":0,"number":7}'), ("email", "r", '{"urn":"u"}'), ("issue", "r", None)], "item_type string, repo string, doc string")
+    got = {(r.item_type, r.item_id): r for r in publish.save(publish.keyed(raw).filter("false"), raw).collect()}
+    assert set(got) == {("issue", "1"), ("issue", "2"), ("commit", "a"), ("issue", "7")} and got["issue", "1"].item_subtype == "pull_request"
+    store = publish.save(publish.keyed(raw).filter("false"), raw)
+    assert rows(publish.save(store, raw)) == rows(store)
+    publish.publish(raw, str(tmp_path / "raw"))
+    assert rows(pipeline.events(spark.read.text(str(tmp_path / "raw"))).select("item_type", "item_id")) == sorted(set(got), key=str)
