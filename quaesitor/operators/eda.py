@@ -27,10 +27,10 @@ def pct(part: Column, whole: Column) -> Column:
 
 
 def span_table(emails: DataFrame) -> DataFrame:
-    """A row per segment: group, urn, i, label, begin, end, convention, kept label, valid."""
+    """A row per segment: group, urn, convention, i, label, begin, end, the text's length in characters and in the convention's units, kept label, valid."""
     s = units.with_segments(emails.select("urn", "group", "text_plain", "segments"))
-    s = s.select("urn", "group", "convention", "text_plain", "segments", F.explode("spans").alias("s"))
-    return s.select("group", "urn", "convention", F.col("s.i").alias("i"), F.col("s.label").alias("label"), F.col("segments")[F.col("s.i")]["begin"].alias("begin"), F.col("segments")[F.col("s.i")]["end"].alias("end"), F.length("text_plain").alias("n"), units.limit_of(F.col("text_plain"), F.col("convention")).alias("limit"), F.col("s.label").isin(*units.KEPT_LABELS).alias("is_kept"), F.col("s.span").isNotNull().alias("valid"))
+    s = s.select("urn", "group", "convention", F.length("text_plain").alias("n"), units.limit_of(F.col("text_plain"), F.col("convention")).alias("limit"), F.explode_outer("spans").alias("s")).filter("s IS NOT NULL")  # a plain explode would have its condition pushed below and all spans made twice
+    return s.select("group", "urn", "convention", "s.i", "s.label", "s.begin", "s.end", "n", "limit", F.col("s.label").isin(*units.KEPT_LABELS).alias("is_kept"), F.col("s.span").isNotNull().alias("valid"))
 
 
 def segment_profile(emails: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def with_segments(raw: DataFrame, labels: tuple[str, ...] = KEPT_LABELS) -> Data
     df = raw.withColumn("segments", _or_empty("segments")).withColumn("text_plain", F.coalesce("text_plain", F.lit("")))
     df = df.withColumn("convention", convention(F.col("text_plain"), F.col("segments")))
     order = F.array_sort(F.transform("segments", lambda s, i: F.struct(F.coalesce(s["begin"], F.lit(0)).alias("o1"), F.coalesce(s["end"], F.lit(0)).alias("o2"), i.alias("i"), s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label"))))
-    spans = F.transform(order, lambda s: F.struct(s["label"].alias("label"), s["i"].alias("i"), resolve(F.col("text_plain"), s["begin"], s["end"], F.col("convention")).alias("span")))
+    spans = F.transform(order, lambda s: F.struct(s["label"].alias("label"), s["i"].alias("i"), s["begin"].alias("begin"), s["end"].alias("end"), resolve(F.col("text_plain"), s["begin"], s["end"], F.col("convention")).alias("span")))
     df = df.withColumn("spans", spans)
     good = F.filter("spans", lambda s: s["label"].isin(*labels) & s["span"].isNotNull())
     cut = F.transform(good, lambda s: F.struct(s["label"].alias("label"), T.strip_text(F.substring("text_plain", s["span"]["b"] + 1, s["span"]["e"] - s["span"]["b"])).alias("text")))

@@ -148,7 +148,7 @@ def conventions(spark, sf_dir):
 
 
 def final_spans(spark, sf_dir):
-    s = units.with_segments(fixture.raw_emails(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
+    s = units.with_segments(fixture.raw_emails(spark, sf_dir)).select("doc_id", F.explode_outer("spans").alias("s"))
     return s.filter("s.span IS NOT NULL").select("doc_id", F.col("s.i").alias("i"), F.col("s.label").alias("label"), F.col("s.span.b").alias("b"), F.col("s.span.e").alias("e"))
 
 
