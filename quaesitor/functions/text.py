@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"[ \t\n\r\f\x0B]"
+BLANKS = " \t\n\r\f\x0b"
 
 #: What is removed from a text, in this order, with the replacement.
 STRIP = (
@@ -30,7 +31,7 @@ OVERSHOOT = 2
 
 
 def strip_ends(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def strip_steps(c: Column) -> list[Column]:
@@ -86,7 +87,7 @@ def pieces(c: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """Tokens without the white space before them."""
-    return F.transform(c, lambda p: F.regexp_replace(p, f"^{WHITE}+", ""))
+    return F.transform(c, lambda p: F.ltrim(p, F.lit(BLANKS)))
 
 
 def utf8_to_chars(text: Column, n: Column) -> Column:

@@ -42,7 +42,7 @@ def _cut(text: Column) -> Column:
 
 
 def _bare(piece: Column) -> Column:
-    return F.regexp_replace(piece, f"^{T.WHITE}+", "")
+    return F.ltrim(piece, F.lit(T.BLANKS))
 
 
 def _start(cut: Column, i: Column, piece: Column) -> Column:
