@@ -224,6 +224,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, blocks: int
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_copies(docs: DataFrame, words: int = 5, reach: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each component of near_duplicates(): that of the smallest id.
+
+    Links are those of the fingerprints, all of them; no other measure adds or
+    removes one. Null and blank texts are one group. Repeated rows of an id stay
+    together; an id with different texts stays where it is the smallest of one of
+    their components, so that no component is left without a document. Rows with
+    a null id always stay and link nothing. Columns of any name pass through; an
+    empty table gives an empty table.
+    """
+    groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, reach, blocks, id_col, text_col)
+    stays = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = written(stays.filter(~F.col("stays")).select(F.col("doc_id").alias("__near_copy")))
+    return docs.join(gone, F.col(id_col) == F.col("__near_copy"), "left_anti")
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets given as arrays of distinct values; 1 for two empty ones."""
     shared = len(np.intersect1d(a, b, assume_unique=True))

@@ -329,6 +329,32 @@ def test_long_pairs_are_decided_exactly(spark, block):
     assert 10 < len(near) < 50 and got == {i for i, _ in rows} - {k + 1 for k in near}
 
 
+def test_pipeline_near_copies_are_those_of_the_fingerprints(spark, sf):
+    """The stage keeps the smallest id of each component of fingerprints within 4 bits, by all pairs; a Jaccard similarity decides nothing."""
+    import corpus_pipeline
+
+    rng = random.Random(65)
+    pairs = [near_pair(rng, 250, rng.randint(20, 70), True) for _ in range(60)]
+    rows = [(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    rows += [(1000 + r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    rows.sort(key=lambda r: r[0])
+    fps = [plain_fingerprint(t, 5) for _, t in rows]
+    root = groups(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    want = {i for k, (i, _) in enumerate(rows) if root[k] == k}
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert sorted(got) == sorted(want)
+    assert any((2 * k + 1 in want) == alike(shingle_set(a), shingle_set(b)) for k, (a, b) in enumerate(pairs))  # the two measures differ here
+
+
+def test_each_component_keeps_a_document_when_ids_repeat(spark, sf):
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "red green blue white black grey brown"
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, a)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (3, a), (5, a), (5, b)]
+
 
 # 7 sharding
 
