@@ -356,6 +356,25 @@ def test_each_component_keeps_a_document_when_ids_repeat(spark, sf):
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (3, a), (5, a), (5, b)]
 
 
+@pytest.fixture()
+def steps(tmp_path, monkeypatch):
+    """The folder of the intermediate tables of one test."""
+    from quaesitor.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    return tmp_path
+
+
+def test_pipeline_near_dedup_writes_no_shingles(spark, sf, steps):
+    """What the stage writes beside its result is a small part of the texts."""
+    import corpus_pipeline
+
+    rng = random.Random(66)
+    rows = [(2 * k + i, t) for k in range(150) for i, t in enumerate(near_pair(rng, 1500, 8, False))]
+    corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).count()
+    assert sum(f.stat().st_size for f in steps.rglob("*.parquet")) < 0.2 * sum(len(t) for _, t in rows)
+
+
 # 7 sharding
 
 
