@@ -375,6 +375,22 @@ def test_pipeline_near_dedup_writes_no_shingles(spark, sf, steps):
     assert sum(f.stat().st_size for f in steps.rglob("*.parquet")) < 0.2 * sum(len(t) for _, t in rows)
 
 
+def test_pipeline_near_dedup_makes_no_pairs_of_a_large_group(spark, sf, steps):
+    """400 texts of which each pair is just under a Jaccard similarity of 0.8: no table of the stage has more rows than a grid cell for each text and choice of blocks."""
+    import corpus_pipeline
+
+    rng = random.Random(67)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        w[rng.randrange(5, 95)] = f"x{k}"
+        rows.append((k, " ".join([*w, f"y{k}"])))
+    corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).count()
+    made = [spark.read.parquet(str(d)).count() for d in steps.iterdir() if any(d.glob("*.parquet"))]
+    assert max(made) <= 35 * len(rows)
+
+
 # 7 sharding
 
 
