@@ -52,6 +52,29 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Ids of so many bytes are sent to every executor, BUCKET to a row, so that the rows that they are taken from stay where they are; with more both sides are shuffled.
+BROADCAST_BYTES, BUCKET = 100_000_000, 64
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is not in `gone`, a written table of one column of distinct ids without nulls.
+
+    Rows with a null id stay. Texts are not shuffled unless the ids are over
+    BROADCAST_BYTES, whatever the session's threshold for broadcasts. Columns of
+    any name pass through; an empty `gone` leaves all rows.
+    """
+    tag = uuid.uuid4().hex
+    bucket, ids, one = f"bucket_{tag}", f"ids_{tag}", f"id_{tag}"
+    gone = gone.toDF(one)
+    width = F.octet_length(one) + 16 if gone.dtypes[0][1] in ("string", "binary") else F.lit(16)
+    n, size = gone.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if size > BROADCAST_BYTES:
+        return docs.join(gone, F.col(id_col) == F.col(one), "left_anti")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(n // BUCKET + 1))
+    held = gone.groupBy(place(one).alias(bucket)).agg(F.collect_list(one).alias(ids))
+    return docs.join(F.broadcast(held), (place(id_col) == F.col(bucket)) & F.array_contains(ids, F.col(id_col)), "left_anti")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

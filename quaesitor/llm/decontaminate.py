@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import without_ids, written
 
 #: Unit words that count as units after a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year hz khz mhz ghz kb mb gb tb w kw kwh v a ohm pa kpa bar j kj cal kcal n k c f usd eur gbp dollars dollar euros euro cents cent percent degrees degree meters metres meter metre kilometers kilometres miles mile grams kilograms liters litres liter litre"
@@ -113,7 +113,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no benchmark item, with their columns; rows with a null id always stay."""
     found = written(contamination(docs.filter(F.col(id_col).isNotNull()), benchmark, window, share, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__benchmark_leak")).distinct())
-    return docs.join(found, F.col(id_col) == F.col("__benchmark_leak"), "left_anti")
+    return without_ids(docs, id_col, found)
 
 
 def oracle(window: int = 5, share: float = 0.8, inconsistent: float = 0.2) -> str:

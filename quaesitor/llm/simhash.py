@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
+from .common import components, small_batches, without_ids, written
 
 SEED = 42
 EVEN = 0x5555555555555555
@@ -237,7 +237,7 @@ def without_near_copies(docs: DataFrame, words: int = 5, reach: int = 4, blocks:
     groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, reach, blocks, id_col, text_col)
     stays = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     gone = written(stays.filter(~F.col("stays")).select(F.col("doc_id").alias("__near_copy")))
-    return docs.join(gone, F.col(id_col) == F.col("__near_copy"), "left_anti")
+    return without_ids(docs, id_col, gone)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

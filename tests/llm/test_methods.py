@@ -391,6 +391,39 @@ def test_pipeline_near_dedup_makes_no_pairs_of_a_large_group(spark, sf, steps):
     assert max(made) <= 35 * len(rows)
 
 
+@pytest.mark.parametrize("stage", ["drop_near_copies", "drop_benchmark_leaks"])
+def test_pipeline_moves_no_texts_to_drop_rows(spark, sf, stage):
+    """Where Spark itself broadcasts nothing, no exchange of the stage's result holds the texts."""
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = getattr(corpus_pipeline, stage)(spark, docs, sf)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert 0 < out.count() < docs.count() and out.columns == docs.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ids_are_dropped_alike_by_both_joins(spark, monkeypatch, kind):
+    from quaesitor.llm import common
+
+    rows = [(None if k % 50 == 0 else k // 2, f"text {k}") for k in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, g string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    for drop in (lambda i: False, lambda i: i % 3 == 0, lambda i: True):
+        gone = spark.createDataFrame([(i,) for i in range(1_000) if drop(i)], "g long").select(F.col("g").cast(kind))
+        want = sorted(t for i, t in rows if i is None or not drop(i))
+        for most in (common.BROADCAST_BYTES, 0):
+            with monkeypatch.context() as m:
+                m.setattr(common, "BROADCAST_BYTES", most)
+                out = common.without_ids(docs, "doc_id", gone)
+            assert out.columns == docs.columns and sorted(r[1] for r in out.collect()) == want
+
+
 # 7 sharding
 
 
