@@ -97,3 +97,17 @@ def test_classifier_protocol(spark):
     v = {r.text_unit_id: r.label for r in annotate.verdicts(units).collect()}
     assert v == {"1": 1, "2": 0, "3": 0}
     assert annotate.verdicts(units, lambda texts: [(1, 0.9)] * len(texts), "m").filter("label = 1 AND model_id = 'm'").count() == 3
+
+
+def test_one_pass_over_the_pieces(spark):
+    """The rules and the affixes read a text's pieces once, only what may match is placed, and the matches are those of each alone."""
+    texts = ["I don't know, CANNOT tell; we can't, of course.", "It is in use, into it, incomplete and useless, a kind of input.", "", "of", "n't unclear n'tn't", "x " * 400 + "in accord, incorrect; no idea"]
+    units = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "text_unit_id string, text string")
+    both = annotate.signals(units, layers={k: annotate.LAYERS[k] for k in ("rules", "affixes")})
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    apart = annotate.rule_signals(units).unionByName(annotate.affix_signals(units))
+    assert rows(both) == rows(apart) and both.count() > 10
+    text = dict(enumerate(texts))
+    assert all(text[int(r.text_unit_id)][r.span_start : r.span_end] == r.surface_form for r in both.collect())
