@@ -12,6 +12,13 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_bigrams_are_rows_without_arrays_of_pairs(spark):
+    units = spark.createDataFrame([("1", "Do n't cannot"), ("2", "one"), ("3", ""), ("4", None)], "text_unit_id string, text string")
+    got = annotate.bigrams(units)
+    assert "zip_with" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "'", "t"), ("1", "can", "not"), ("1", "do", "n"), ("1", "n", "'"), ("1", "t", "can")]
+
+
 @pytest.mark.parametrize("text", [None, "", " plain ", "a\n\n\nb", "> q\nx", "`c`d", "![a](b)!", "<!-- n -->z", "@me hi", "a\n\nb"])
 def test_a_text_without_marks_is_not_searched(spark, text):
     d = spark.createDataFrame([(text,)], "x string")
