@@ -12,6 +12,13 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_exemplars_are_broadcast_to_the_texts(spark):
+    members = spark.createDataFrame([("a", str(k), k) for k in range(40)], "cluster string, text_unit_id string, total long")
+    got = steps.exemplars(members, members.select("text_unit_id", F.lit("x" * 500).alias("text")))
+    assert "strategy=broadcast" in plan(got)
+    assert sorted((r.kind, len(r.text)) for r in got.collect()) == [("random", 400)] * 10 + [("top", 400)] * 5
+
+
 def test_bigrams_are_rows_without_arrays_of_pairs(spark):
     units = spark.createDataFrame([("1", "Do n't cannot"), ("2", "one"), ("3", ""), ("4", None)], "text_unit_id string, text string")
     got = annotate.bigrams(units)
