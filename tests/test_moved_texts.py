@@ -12,6 +12,11 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_cut_before_they_meet_the_ids(spark, sf):
+    p = plan(catalogue.queries()["j14_ids_to_text"](spark, sf))
+    assert p.index("Join") < p.index(", 400)")
+
+
 def test_exemplars_are_broadcast_to_the_texts(spark):
     members = spark.createDataFrame([("a", str(k), k) for k in range(40)], "cluster string, text_unit_id string, total long")
     got = steps.exemplars(members, members.select("text_unit_id", F.lit("x" * 500).alias("text")))
