@@ -17,6 +17,11 @@ def test_texts_are_cut_before_they_meet_the_ids(spark, sf):
     assert p.index("Join") < p.index(", 400)")
 
 
+def test_the_sample_is_chosen_before_its_texts(spark, sf):
+    p = plan(catalogue.queries()["q502_marker_only_sample"](spark, sf))
+    assert p.count("strategy=broadcast") >= 2
+
+
 def test_exemplars_are_broadcast_to_the_texts(spark):
     members = spark.createDataFrame([("a", str(k), k) for k in range(40)], "cluster string, text_unit_id string, total long")
     got = steps.exemplars(members, members.select("text_unit_id", F.lit("x" * 500).alias("text")))
